@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from marlstone.llm import line_dedup
+from marlstone.llm import chat, decontaminate, line_dedup, quality
 
 QUERIES = {
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op7_chat": chat.op7_chat,
+    "op8_quality": quality.op8_quality,
 }
 
 ORACLES = {
     "op3_line_dedup": line_dedup.ORACLE,
+    "op5_decontaminate": decontaminate.ORACLE,
+    "op7_chat": chat.ORACLE,
 }
