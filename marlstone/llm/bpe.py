@@ -6,8 +6,9 @@ compatible, that is, no merge across the pair's border would have come before
 the merges that make its two tokens.  The pairs of all words of a batch are
 tested together with numpy; only the words that fail are merged step by step.
 
-Encoded words are kept in a bounded table, so a text costs one split and one
-lookup for each word.
+No word reaches across white space, so texts are cut into chunks there.  What is
+known of chunks and words is kept in bounded tables, and a text mostly costs one
+split and one lookup for each chunk.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ def byte_letters() -> list[str]:
 class SpeculativeBpe:
     """A word-level BPE with word ends, read from a ``tokenizers`` JSON file."""
 
-    def __init__(self, spec: str, keep: int = 250_000):
+    def __init__(self, spec: str, keep: int = 150_000):
         data = json.loads(spec)
         model = data["model"]
         self.vocab: dict[str, int] = model["vocab"]
@@ -56,7 +57,6 @@ class SpeculativeBpe:
         self.special_re = regex.compile("|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True))) if special else None
         split = next(p for p in data["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words_re = regex.compile(split["pattern"]["Regex"])
-        self.space_re = regex.compile(r"\s+")
         self.letters = byte_letters()
         self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
         merges = [m if isinstance(m, list) else m.split(" ", 1) for m in model["merges"]]
@@ -65,7 +65,7 @@ class SpeculativeBpe:
             self.ranks.setdefault((self.vocab[a], self.vocab[b]), (rank, self.vocab[head + b]))
         keys = np.array([a * size + b for a, b in self.ranks], dtype=np.int64)
         order = np.argsort(keys)
-        self.keys, self.key_ranks = keys[order], np.array([r for r, _ in self.ranks.values()], dtype=np.int64)[order]
+        self.keys, self.key_ranks, self.key_made = (x[order] for x in (keys, *np.array(list(self.ranks.values()), dtype=np.int64).T))
         self.size = size
         self.longest = max(len(t.removesuffix(self.suffix)) for t in self.vocab)
         self.birth = np.full(size, -1, dtype=np.int64)
@@ -80,8 +80,7 @@ class SpeculativeBpe:
         inner = self._clash(self.left[made], self.right[made], self.birth[made])
         for i, bad in sorted(zip(made.tolist(), inner.tolist()), key=lambda x: self.birth[x[0]]):
             self.sound[i] = not bad and self.sound[self.left[i]] and self.sound[self.right[i]]
-        self.keep = keep
-        self.known: dict[str, tuple[list[int], str, str]] = {}
+        self.words, self.chunks = Generations(keep), Generations(keep)
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         want = a * self.size + b
@@ -129,20 +128,46 @@ class SpeculativeBpe:
             i = k
         return out
 
-    def merge(self, word: str) -> list[int]:
-        """Exact merging: the pair of least rank first, from the left."""
-        ids = [self.vocab[c + self.suffix if i == len(word) - 1 else c] for i, c in enumerate(word)]
-        while len(ids) > 1:
-            best = min((self.ranks.get(p, (_FAR, 0))[0], i) for i, p in enumerate(zip(ids, ids[1:])))
-            if best[0] >= _FAR:
-                break
-            i = best[1]
-            ids[i : i + 2] = [self.ranks[ids[i], ids[i + 1]][1]]
-        return ids
-
-    def encode_words(self, words: list[str]) -> int:
-        """Learn the encodings of new words; returns how many had to be merged."""
-        spelled = ["".join(map(self.letters.__getitem__, w.encode("utf-8"))) for w in words]
+    def merge(self, words: list[str]) -> list[list[int]]:
+        """Exact merging of all words side by side.
+
+        In each round every word merges its pair of least rank, the leftmost of
+        equals; a word without a pair is done.
+        """
+        out: list[list[int]] = [[]] * len(words)
+        sizes = np.array([len(w) for w in words], dtype=np.int64)
+        sym = np.array([self.vocab[c + self.suffix if i == len(w) - 1 else c] for w in words for i, c in enumerate(w)], dtype=np.int64)
+        owner = np.repeat(np.arange(len(words)), sizes)
+        rank, made = self._pairs(sym, owner, np.arange(len(sym)))
+        while len(sym):
+            first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            place = np.arange(len(sym))
+            best = np.minimum.reduceat(rank * len(sym) + place, first)
+            ends = np.r_[first[1:], len(sym)]
+            done = best // len(sym) >= _FAR
+            for lo, hi in zip(first[done].tolist(), ends[done].tolist()):
+                out[owner[lo]] = sym[lo:hi].tolist()
+            at = best[~done] % len(sym)
+            sym[at] = made[at]
+            stay = ~np.repeat(done, ends - first)
+            stay[at + 1] = False
+            moved = np.cumsum(stay) - 1
+            sym, owner, rank, made, at = sym[stay], owner[stay], rank[stay], made[stay], moved[at]
+            fresh = np.unique(np.r_[at, at[at > 0] - 1])
+            rank[fresh], made[fresh] = self._pairs(sym, owner, fresh)
+        return out
+
+    def _pairs(self, sym: np.ndarray, owner: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and result of the pairs that begin at ``at``."""
+        nxt = np.minimum(at + 1, len(sym) - 1)
+        want = sym[at] * self.size + sym[nxt]
+        found = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
+        real = (self.keys[found] == want) & (nxt > at) & (owner[nxt] == owner[at])
+        return np.where(real, self.key_ranks[found], _FAR), np.where(real, self.key_made[found], 0)
+
+    def encode_words(self, words: list[str]) -> tuple[list[list[int]], int]:
+        """Encodings of words without special tokens, and how many were merged."""
+        spelled = ["".join(map(self.letters.__getitem__, w.encode("utf-8", "replace"))) for w in words]
         offers = [self.propose(s) for s in spelled]
         sizes = np.array([len(o or ()) for o in offers], dtype=np.int64)
         flat = np.array([t for o in offers for t in o or ()], dtype=np.int64)
@@ -155,56 +180,95 @@ class SpeculativeBpe:
             if len(pairs):
                 clash = self._clash(pairs // self.size, pairs % self.size)
                 wrong[owner[:-1][same][clash[back]]] = True
-        for i in np.flatnonzero(wrong).tolist():
-            offers[i] = self.merge(spelled[i])
-        for w, ids in zip(words, offers):
-            self.known[w] = (ids, " ".join(map(str, ids)), " ".join(map(self.names.__getitem__, ids)))
-        return int(wrong.sum())
+        failed = np.flatnonzero(wrong).tolist()
+        for i, ids in zip(failed, self.merge([spelled[i] for i in failed])):
+            offers[i] = ids
+        return offers, len(failed)
 
-    def split(self, text: str) -> list[str]:
+    def split(self, chunk: str) -> list[str]:
         """Words of one stretch of text without special tokens."""
-        if not unicodedata.is_normalized("NFC", text):
-            text = unicodedata.normalize("NFC", text)
-        return self.words_re.findall(self.space_re.sub(" ", text).replace("Σ", "σ").lower())
-
-    def pieces(self, text: str) -> list[str]:
-        """Words and special tokens of a whole text, in order."""
-        if not self.special_re or "<" not in text:
-            return self.split(text)
+        if not unicodedata.is_normalized("NFC", chunk):
+            chunk = unicodedata.normalize("NFC", chunk)
+        return self.words_re.findall(chunk.replace("Σ", "σ").lower())
+
+    def pieces(self, chunk: str) -> list[str]:
+        """Words and special tokens of a chunk, in order."""
+        if not self.special_re or "<" not in chunk:
+            return self.split(chunk)
         out, at = [], 0
-        for m in self.special_re.finditer(text):
-            out += self.split(text[at : m.start()])
+        for m in self.special_re.finditer(chunk):
+            out += self.split(chunk[at : m.start()])
             out.append(m.group())
             at = m.end()
-        return out + self.split(text[at:])
-
-    def texts(self, texts: list[str]) -> Iterator[list]:
-        """For each text, what is known of each of its words: ids, ids in decimal, names.
-
-        Special tokens are words of their own.
+        return out + self.split(chunk[at:])
+
+    def _learn(self, chunks: list[str]) -> None:
+        parts = [self.pieces(c) for c in chunks]
+        new = [w for w in self.words.missing(set().union(*parts)) if w not in self.special]
+        self.words.young.update(zip(new, map(tuple, self.encode_words(new)[0])))
+        for name, i in self.special.items():
+            self.words.young[name] = (i,)
+        known, names = self.words.young, self.names
+        for c, ws in zip(chunks, parts):
+            ids = [i for w in ws for i in known[w]]
+            self.chunks.young[c] = (len(ids), " ".join(map(str, ids)), " ".join(map(names.__getitem__, ids)))
+
+    def texts(self, texts: list[str]) -> Iterator[list[tuple[int, str, str]]]:
+        """For each text, number, decimal ids and names of the tokens of its chunks.
+
+        Chunks without tokens are left out, so both strings join by a space.
         """
-        for at in range(0, len(texts), 64):
-            some = [self.pieces(t) for t in texts[at : at + 64]]
-            new = set().union(*some) - self.known.keys()
-            if len(self.known) + len(new) > self.keep:
-                self.known.clear()
-                new = set().union(*some)
-            for name in new & self.special.keys():
-                i = self.special[name]
-                self.known[name] = ([i], str(i), name)
-            new -= self.special.keys()
+        for at in range(0, len(texts), 128):
+            some = [chunks_of(t) for t in texts[at : at + 128]]
+            new = self.chunks.missing(set().union(*some))
             if new:
-                self.encode_words(sorted(new))
-            yield from ([self.known[w] for w in ws] for ws in some)
+                self._learn(new)
+            get = self.chunks.young.__getitem__
+            for chunks in some:
+                yield [k for k in map(get, chunks) if k[0]]
 
     def encode(self, text: str) -> list[int]:
-        return [i for ids, _, _ in next(self.texts([text])) for i in ids]
+        return [int(i) for _, ids, _ in next(self.texts([text])) for i in ids.split()]
 
     def decode(self, ids: list[int]) -> str:
         """Names of the tokens joined by a space: the file has no decoder."""
         return " ".join(self.names[i] for i in ids)
 
 
+class Generations:
+    """A bounded table: what is still asked for outlives a change of generation."""
+
+    def __init__(self, keep: int):
+        self.keep, self.young, self.old = keep, {}, {}
+
+    def missing(self, wanted: set[str]) -> list[str]:
+        """Bring ``wanted`` into the young generation; return what is unknown, sorted."""
+        if len(self.young) + len(wanted) > self.keep and self.young:
+            self.old, self.young = self.young, {}
+        lost = []
+        for w in wanted - self.young.keys():
+            found = self.old.get(w)
+            if found is None:
+                lost.append(w)
+            else:
+                self.young[w] = found
+        return sorted(lost)
+
+
+_ODD = regex.compile("[\x1c-\x1f]")
+_SPACE = regex.compile(r"[\s--\x1c-\x1f]+", regex.V1)
+
+
+def chunks_of(text: str) -> list[str]:
+    """Stretches between Unicode white space; no word reaches across it.
+
+    ``str.split`` also parts at U+001C to U+001F, which are no white space.
+    """
+    if _ODD.search(text):
+        return [c for c in _SPACE.split(text) if c]
+    return text.split()
+
+
 _LOADED: dict[str, SpeculativeBpe] = {}
 
 
@@ -251,9 +315,9 @@ def bpe(docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids: bool
                 batch = whole.slice(at, 256)
                 out: dict[str, list] = {k: [] for k in added}
                 for known in codec.texts(batch.column(0).to_pylist()):
-                    out["n_tokens"].append(sum(len(k[0]) for k in known))
+                    out["n_tokens"].append(sum([k[0] for k in known]))
                     if ids:
-                        out["ids"].append([i for k in known for i in k[0]])
+                        out["ids"].append([int(i) for k in known for i in k[1].split()])
                     if decoded or digests:
                         text = " ".join([k[2] for k in known])
                     if decoded:
