@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marlstone.llm import bpe, chat, decontaminate, line_dedup, near_dedup, quality, token_files
+from marlstone.llm import bpe, chat, decontaminate, language_id, line_dedup, near_dedup, quality, token_files
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_near_dedup": near_dedup.op6_near_dedup,
     "op7_chat": chat.op7_chat,
     "op8_quality": quality.op8_quality,
+    "op10_language_id": language_id.op10_language_id,
 }
 
 ORACLES = {
