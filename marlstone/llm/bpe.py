@@ -16,6 +16,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -211,10 +212,10 @@ class SpeculativeBpe:
         known, names = self.words.young, self.names
         for c, ws in zip(chunks, parts):
             ids = [i for w in ws for i in known[w]]
-            self.chunks.young[c] = (len(ids), " ".join(map(str, ids)), " ".join(map(names.__getitem__, ids)))
+            self.chunks.young[c] = (len(ids), " ".join(map(str, ids)), " ".join(map(names.__getitem__, ids)), array("i", ids).tobytes())
 
-    def texts(self, texts: list[str]) -> Iterator[list[tuple[int, str, str]]]:
-        """For each text, number, decimal ids and names of the tokens of its chunks.
+    def texts(self, texts: list[str]) -> Iterator[list[tuple[int, str, str, bytes]]]:
+        """For each text and chunk: number, decimal ids, names and 32-bit ids of its tokens.
 
         Chunks without tokens are left out, so both strings join by a space.
         """
@@ -228,7 +229,7 @@ class SpeculativeBpe:
                 yield [k for k in map(get, chunks) if k[0]]
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for _, ids, _ in next(self.texts([text])) for i in ids.split()]
+        return array("i", b"".join(k[3] for k in next(self.texts([text])))).tolist()
 
     def decode(self, ids: list[int]) -> str:
         """Names of the tokens joined by a space: the file has no decoder."""
@@ -317,7 +318,7 @@ def bpe(docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids: bool
                 for known in codec.texts(batch.column(0).to_pylist()):
                     out["n_tokens"].append(sum([k[0] for k in known]))
                     if ids:
-                        out["ids"].append([int(i) for k in known for i in k[1].split()])
+                        out["ids"].append(b"".join([k[3] for k in known]))
                     if decoded or digests:
                         text = " ".join([k[2] for k in known])
                     if decoded:
@@ -325,8 +326,11 @@ def bpe(docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids: bool
                     if digests:
                         out["ids_sha256"].append(_digest(" ".join([k[1] for k in known])))
                         out["decoded_sha256"].append(_digest(text))
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns[1:], *(pa.array(v, added[k][1]) for k, v in out.items())], names=[*rest, *added])
+                made = {k: pa.array(v, added[k][1]) for k, v in out.items() if k != "ids"}
+                if ids:
+                    ends = np.cumsum([0, *out["n_tokens"]]).astype(np.int32)
+                    made["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(out["ids"]), np.int32)))
+                yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(made[k] for k in added)], names=[*rest, *added])
 
     return chosen.mapInArrow(run, schema)
 
