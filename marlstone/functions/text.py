@@ -122,7 +122,10 @@ def ancestors(path: Column) -> Column:
 
 def excluded_by(patterns: list[str], path: Column) -> Column:
     """The first pattern that matches the path or a directory above it, else null."""
-    hits = [F.when(F.exists(ancestors(path), lambda a, p=p: glob_match(p, a)), F.lit(p)) for p in patterns]
+    def above(p: str) -> Column:
+        return F.exists(ancestors(path), lambda a: glob_match(p, a))
+
+    hits = [F.when(above(p), F.lit(p)) for p in patterns]
     return F.coalesce(*hits) if hits else F.lit(None).cast("string")
 
 
