@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,13 +34,16 @@ def scan(spark: SparkSession, root: str, dirs: list[str], excludes: list[str] =
     files = None
     for d in dirs:
         where = f"{base}/{d}".rstrip("/")
-        one = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(where)
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(where)
+        # Spark lists files without bytes and then reads nothing of them
+        listed = spark.createDataFrame([(n,) for n in found.inputFiles()], "path string").select(F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B"))).alias("path"))
+        one = found.select("path", "content").unionByName(listed.withColumn("content", F.lit("").cast("binary")))
         files = one if files is None else files.unionByName(one)
-    plain = F.regexp_replace(F.col("path"), "^[a-z]+:/*", "/")
-    inside = F.regexp_replace(base, "^[a-z]+:/*", "/") if isinstance(base, Column) else F.lit("/" + base.split(":", 1)[-1].lstrip("/") + "/")
-    rel = F.expr("substring(plain, length(inside) + 1)")
-    rows = files.select(plain.alias("plain"), inside.alias("inside"), "content").select(rel.alias("path"), "content")
-    rows = rows.where(~F.col("path").rlike(r"(^|/)\.")).dropDuplicates(["path"])
+    plain = F.regexp_replace(F.col("path"), "^[a-z0-9]+:/*", "/")
+    inside = "/" + re.sub("^[a-z0-9]+:", "", base).lstrip("/") + "/"
+    rows = files.groupBy(plain.alias("plain")).agg(F.max("content").alias("content"))
+    rows = rows.select(F.substring("plain", len(inside) + 1, 1 << 20).alias("path"), "content")
+    rows = rows.where(~F.col("path").rlike(r"(^|/)\."))
     excluded = T.excluded_by(list(excludes), F.col("path"))
     kind = T.accepted_type(F.col("path"), list(allow) or DEFAULT_TYPES, list(deny))
     reason = F.when(excluded.isNotNull(), F.concat(F.lit("excluded: "), excluded)).when(~kind, "type").otherwise(skip_reason(F.col("content")))
