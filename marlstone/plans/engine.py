@@ -70,7 +70,7 @@ class Engine:
     """One index folder and its verbs."""
 
     def __init__(self, spark: SparkSession, path: str, config: Config = Config()):
-        self.spark, self.path, self.config = spark, path.rstrip("/"), config
+        self.spark, self.root, self.config = spark, path.rstrip("/"), config
 
     # building
 
@@ -79,10 +79,10 @@ class Engine:
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
     def version(self) -> str | None:
-        fs, p = self._fs(f"{self.path}/CURRENT")
+        fs, p = self._fs(f"{self.root}/CURRENT")
         if not fs.exists(p):
             return None
-        names = [r["value"] for r in self.spark.read.text(f"{self.path}/CURRENT").collect()]
+        names = [r["value"] for r in self.spark.read.text(f"{self.root}/CURRENT").collect()]
         schema, name = names[0].split(" ")
         if schema != f"{SCHEMA_VERSION}.{ANALYSER_VERSION}":
             raise ValueError(f"the index has schema {schema}; build it again")
@@ -92,11 +92,11 @@ class Engine:
         version = self.version()
         if version is None:
             raise FileNotFoundError("there is no index yet")
-        return self.spark.read.parquet(f"{self.path}/{version}/{name}")
+        return self.spark.read.parquet(f"{self.root}/{version}/{name}")
 
     def _publish(self, records: DataFrame) -> None:
         version = f"v-{uuid.uuid4().hex[:12]}"
-        at = f"{self.path}/{version}"
+        at = f"{self.root}/{version}"
         records.repartition("shard").sortWithinPartitions("id").write.parquet(f"{at}/records")
         records = self.spark.read.parquet(f"{at}/records")
         if not I.duplicate_ids(records).isEmpty():
@@ -105,7 +105,7 @@ class Engine:
         posts.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.parquet(f"{at}/postings")
         I.corpus_stats(records).coalesce(1).write.parquet(f"{at}/stats")
         resolve(records).write.parquet(f"{at}/edges")
-        self.spark.createDataFrame([(f"{SCHEMA_VERSION}.{ANALYSER_VERSION} {version}",)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/CURRENT")
+        self.spark.createDataFrame([(f"{SCHEMA_VERSION}.{ANALYSER_VERSION} {version}",)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/CURRENT")
 
     def ingest(self, documents: DataFrame) -> dict[str, int]:
         """Index ``id, loc, raw``; unchanged documents keep their records.
