@@ -313,3 +313,20 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all ``documents`` over 4-word shingles."""
     return near_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), words=4)
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                   '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS ws FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, ws[s : s + 3] AS g FROM w, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS t(s) WHERE len(ws) > 0
+), n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id
+), common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), link AS (
+  SELECT x, y FROM common JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 80 * (nx.n + ny.n - c)
+), ways AS (SELECT x, y FROM link UNION ALL SELECT y, x FROM link
+), reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, b.y FROM reach r JOIN ways b ON r.y = b.x
+), comp AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)
+SELECT c.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, c.doc_id = component_id AS kept FROM comp c LEFT JOIN n ON n.doc_id = c.doc_id
+"""

@@ -167,3 +167,39 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality rules over all ``documents``."""
     out = quality_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _oracle() -> str:
+    """DuckDB SQL of the registered query, verdicts included."""
+    common = ", ".join(f"'{w}'" for w in _COMMON)
+    n, m = len(CLASSES), len(_COMMON) + 1
+    rest = lambda keep: f"length(regexp_replace(t, '[^{keep}]+', '', 'g'))"
+    share = lambda h: f"list_transform({h}, lambda x: x / greatest(1, list_sum({h}))::DOUBLE)"
+    sums = lambda h, k: "[" + ", ".join(f"sum({h}[{i + 1}])" for i in range(k)) + "]"
+    term = lambda x: f"CASE WHEN {x} > 0 THEN {x} * log2({x} / ((z[1] + z[2]) / 2)) ELSE 0 END"
+    js = lambda p, q: f"sqrt(greatest(0, list_sum(list_transform(list_zip({p}, {q}), lambda z: {term('z[1]')} + {term('z[2]')})) / 2))"
+    return rf"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents
+), w AS (SELECT *, list_filter(regexp_split_to_array(t, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS ws,
+  list_filter(string_split(t, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> '') AS ls FROM d
+), g AS (SELECT doc_id, s, (ws[s], ws[s + 1], ws[s + 2]) AS gram FROM w, unnest(range(1, len(ws) - 1)) AS u(s)
+), twice AS (SELECT doc_id, gram FROM g GROUP BY ALL HAVING count(*) > 1
+), rep AS (SELECT doc_id, count(DISTINCT p) AS n_repeat FROM (SELECT g.doc_id, unnest([s, s + 1, s + 2]) AS p FROM g JOIN twice ON g.doc_id = twice.doc_id AND g.gram = twice.gram) GROUP BY doc_id
+), c AS (SELECT *, list_filter(list_transform(ws, lambda x: trim(lower(x), '.,;:!?')), lambda x: x IN ({common})) AS cw, length(t) AS n_chars,
+  {rest(r' \t\n\x0B\f\r')} AS sp, {rest(r'\p{L}')} AS le, {rest(r'\p{Lu}')} AS up, {rest('0-9')} AS di, {rest('#*$%&|<>')} AS sy, {rest(r".,;:!?''" + r'"()\-')} AS pu FROM w
+), h AS (SELECT *, [le - up, up, di, sp, sy, pu, n_chars - le - di - sp - sy - pu] AS ch,
+  list_append(list_transform([{common}], lambda k: len(list_filter(cw, lambda x: x = k))), len(ws) - len(cw)) AS wh FROM c
+), sums AS (SELECT lang, {sums('ch', n)} AS cs, {sums('wh', m)} AS wsum FROM h WHERE len(ws) >= 50 AND lang IS NOT NULL GROUP BY lang
+), refs AS (SELECT {share('cs')} AS cq, {share('wsum')} AS wq FROM sums
+), p AS (SELECT doc_id, {share('ch')} AS cp, {share('wh')} AS wp FROM h
+), js AS (SELECT doc_id, {js('cp', 'cq')} AS c, {js('wp', 'wq')} AS w FROM p, refs
+), best AS (SELECT doc_id, min({{'s': c + w, 'c': c, 'w': w}}) AS b FROM js GROUP BY doc_id
+), base AS (SELECT h.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(n_chars - sp AS BIGINT) AS word_chars, CAST(sy AS BIGINT) AS n_symbols,
+  CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat, 0) AS n_repeat_words FROM h LEFT JOIN rep ON h.doc_id = rep.doc_id
+), f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base)
+SELECT f.*, NOT base_failed AND coalesce(b.c, 0) <= 0.28 AND coalesce(b.w, 0) <= 0.25 + 1 / sqrt(greatest(1, n_words)) AS kept
+FROM f LEFT JOIN best ON f.doc_id = best.doc_id
+"""
+
+
+ORACLE = _oracle()

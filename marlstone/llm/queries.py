@@ -20,5 +20,7 @@ QUERIES = {
 ORACLES = {
     "op3_line_dedup": line_dedup.ORACLE,
     "op5_decontaminate": decontaminate.ORACLE,
+    "op6_near_dedup": near_dedup.ORACLE,
     "op7_chat": chat.ORACLE,
+    "op8_quality": quality.ORACLE,
 }
