@@ -25,6 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.llm.batches import slices
 from marlstone.llm.common import table
 
 END_OF_WORD = "</w>"
@@ -44,7 +45,7 @@ def byte_letters() -> list[str]:
 class SpeculativeBpe:
     """A word-level BPE with word ends, read from a ``tokenizers`` JSON file."""
 
-    def __init__(self, spec: str, keep: int = 150_000):
+    def __init__(self, spec: str, keep: int = 100_000):
         data = json.loads(spec)
         model = data["model"]
         self.vocab: dict[str, int] = model["vocab"]
@@ -228,6 +229,10 @@ class SpeculativeBpe:
             for chunks in some:
                 yield [k for k in map(get, chunks) if k[0]]
 
+    def rest(self) -> None:
+        """Let go of the older generations: an idle worker shouldn't hold them."""
+        self.words.old, self.chunks.old = {}, {}
+
     def encode(self, text: str) -> list[int]:
         return array("i", b"".join(k[3] for k in next(self.texts([text])))).tolist()
 
@@ -312,8 +317,7 @@ def bpe(docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids: bool
     def run(batches):
         codec = load(spec.value)
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            for batch in slices(whole, 0):
                 out: dict[str, list] = {k: [] for k in added}
                 for known in codec.texts(batch.column(0).to_pylist()):
                     out["n_tokens"].append(sum([k[0] for k in known]))
@@ -331,6 +335,7 @@ def bpe(docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids: bool
                     ends = np.cumsum([0, *out["n_tokens"]]).astype(np.int32)
                     made["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(out["ids"]), np.int32)))
                 yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(made[k] for k in added)], names=[*rest, *added])
+        codec.rest()
 
     return chosen.mapInArrow(run, schema)
 

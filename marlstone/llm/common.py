@@ -48,7 +48,7 @@ def scratch(spark: SparkSession, label: str) -> str:
 def materialise(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once into the shared folder and read it back."""
     spark, path = df.sparkSession, scratch(df.sparkSession, label)
-    writer = df.write.option("compression", "zstd")
+    writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.llm.batches import slices
 from marlstone.llm.common import table
 
 _SILENT = {"script", "style", "noscript", "template", "head", "title", "svg", "iframe", "select", "button", "textarea", "object", "canvas"}
@@ -358,8 +359,7 @@ def extract_pages(pages: DataFrame, model: BlockLabeller, html_col: str = "html"
 
     def run(batches):
         for whole in batches:
-            for at in range(0, whole.num_rows, 128):
-                part = whole.slice(at, 128)
+            for part in slices(whole, 0, 128):
                 texts = extract(part.column(0).to_pylist(), sent.value)
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*rest, "text", "n_chars"])
 

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from marlstone.llm.batches import slices
 from marlstone.llm.common import table
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -205,7 +206,7 @@ def fit_language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 class Labeller:
     """Predicts documents with a bounded table of word scores."""
 
-    def __init__(self, model: Crf, keep: int = 200_000):
+    def __init__(self, model: Crf, keep: int = 150_000):
         self.model, self.keep = model, keep
         self.places: dict[str, int] = {}
         self.scores = np.zeros((0, len(model.labels)), np.float32)
@@ -251,8 +252,7 @@ def language_id(docs: DataFrame, model: Crf, text_col: str = "text", keep_text:
     def run(batches):
         labeller = Labeller(sent.value)
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                part = whole.slice(at, 256)
+            for part in slices(whole, 0):
                 found = labeller.predict(part.column(0).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*rest, "lang_pred", "score"])
 

@@ -32,6 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.llm.batches import slices
 from marlstone.llm.common import materialise, table
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -245,8 +246,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def scan(batches):
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                part = whole.slice(at, 256)
+            for part in slices(whole, 1):
                 sets = [shingle_set(t, words) for t in part.column(1).to_pylist()]
                 made = [sketch.of(s) if len(s) else (None, None) for s in sets]
                 yield pa.RecordBatch.from_arrays([

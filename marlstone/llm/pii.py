@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.llm.batches import slices
 from marlstone.llm.common import table
 
 #: Given names by gender, and family names.
@@ -290,8 +291,7 @@ def replace_pii(docs: DataFrame, key: str, text_col: str = "text", with_entities
         make = Surrogates(secret)
         digest = lambda k, v: hmac.new(secret, f"{k}|{_form(k, v)}".encode(), hashlib.sha256).hexdigest()[:16]
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                part = whole.slice(at, 256)
+            for part in slices(whole, at_text):
                 done = [(None, []) if t is None else replace(t, make) for t in part.column(at_text).to_pylist()]
                 cols = [pa.array([d[0] for d in done], part.schema.field(i).type) if i == at_text else c for i, c in enumerate(part.columns)]
                 cols.append(pa.array([len(d[1]) for d in done], pa.int64()))

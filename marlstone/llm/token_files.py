@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from marlstone.llm.batches import slices
 from marlstone.llm.bpe import chunks_of, load, word_bpe_path
 from marlstone.llm.common import materialise, scratch, table
 
@@ -179,8 +180,7 @@ def write_token_files(docs: DataFrame, uri: str, tokenizer_path: str, id_col: st
         base = f"{uri}/shard-{task.partitionId():06d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}"
         writer, end, at, spans = None, np.array([end_id], dtype=coder.dtype).tobytes(), 0, []
         for whole in batches:
-            for lo in range(0, whole.num_rows, 128):
-                batch = whole.slice(lo, 128)
+            for batch in slices(whole, 1, 128):
                 writer = writer or ShardWriter(f"{base}.arrow", coder.dtype, seq_len, rows)
                 for doc, ids in zip(batch.column(0).to_pylist(), coder.encode(batch.column(1).to_pylist())):
                     writer.add(ids + end)
