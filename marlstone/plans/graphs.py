@@ -193,15 +193,29 @@ def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.connected(_trade(spark, sf_dir).where("src NOT LIKE 'order:%' AND src NOT LIKE 'supplier:%'"))
 
 
+def simple_routes_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes of at most three hops from all orders to region 0, over all foreign keys."""
+    edges = fk_edges(spark, sf_dir)
+    pairs = edges.where("src LIKE 'order:%'").select(F.col("src").alias("a"), F.lit("region:0").alias("b")).distinct()
+    rows = G.routes(edges, pairs, 3)
+    steps = F.array_join(F.transform("steps", lambda s: F.concat(s.getField("kind"), F.lit(">"), s.getField("dst"))), " ")
+    return rows.select("a", "b", F.col("no").cast("long").alias("no"), F.col("hops").cast("long").alias("hops"), F.round("reliability", 9).alias("reliability"), steps.alias("steps"))
+
+
+def graph_components_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Connected parts of the graph of all foreign keys."""
+    return G.connected(fk_edges(spark, sf_dir))
+
+
 def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Communities of nations, customers and regions."""
-    return G.communities(_trade(spark, sf_dir).where("src NOT LIKE 'order:%'"))
+    """Communities of the graph of all foreign keys."""
+    return G.communities(fk_edges(spark, sf_dir))
 
 
 QUERIES = {f.__name__: f for f in (
     resolve_links, resolve_code, tag_edges, dedupe_edges, drop_dangling, basename_map, link_targets, code_targets, markdown_headings,
     path_normalize, graph_edges, graph_degree, inbound_edges, explain_node, ppr_scores, ppr_expand, graph_neighbourhood,
-    simple_routes, graph_components, communities)}
+    simple_routes, simple_routes_whole, graph_components, graph_components_whole, communities)}
 
 def _sql_normal(path: str) -> str:
     """Path segments folded in a recursive-free way: list_reduce over segments."""
@@ -279,6 +293,13 @@ ORACLES = {
           FROM r JOIN g ON g.src = r.cur WHERE r.cur <> r.b AND hops < 3 AND NOT list_contains(seen, g.dst)
         ), f AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY rel DESC, steps) AS no FROM r WHERE cur = b)
         SELECT a, b, no, CAST(hops AS BIGINT) AS hops, round(rel, 9) AS reliability, array_to_string(steps, ' ') AS steps FROM f WHERE no <= 10""",
+    "simple_routes_whole": f"""WITH RECURSIVE {_FK}, pairs AS (SELECT DISTINCT src AS a, 'region:0' AS b FROM e WHERE src LIKE 'order:%'
+        ), r AS (
+          SELECT a, b, a AS cur, [a] AS seen, 2.0::DOUBLE AS rel, []::VARCHAR[] AS steps, 0 AS hops FROM pairs
+          UNION ALL SELECT a, b, e.dst, list_append(seen, e.dst), rel * grade / 10 * 0.5, list_append(steps, e.kind || '>' || e.dst), hops + 1
+          FROM r JOIN e ON e.src = r.cur WHERE r.cur <> r.b AND hops < 3 AND NOT list_contains(seen, e.dst)
+        ), f AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY rel DESC, steps) AS no FROM r WHERE cur = b)
+        SELECT a, b, no, CAST(hops AS BIGINT) AS hops, round(rel, 9) AS reliability, array_to_string(steps, ' ') AS steps FROM f WHERE no <= 10""",
     "graph_components": f"""WITH RECURSIVE {_FK}, t AS (SELECT * FROM e WHERE src LIKE 'nation:%' OR src LIKE 'customer:%'), s AS (SELECT src AS a, dst AS b FROM t UNION ALL SELECT dst, src FROM t
         ), r AS (SELECT DISTINCT a AS root, a AS node FROM s WHERE a LIKE 'region:%' UNION SELECT r.root, s.b FROM r JOIN s ON r.node = s.a)
         SELECT node, (SELECT min(x.node) FROM r x WHERE x.root = r.root) AS component FROM r""",
