@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -96,6 +98,42 @@ def dense_top(codes: DataFrame, queries: DataFrame, width: int = 100) -> DataFra
     return near.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= width).select("query_id", "id", "distance", "rank")
 
 
+def cosine_top(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """The k best of all rows ``id, v`` by cosine for each of ``query_id, q``, ties by id.
+
+    No row is left out: each batch of rows meets all queries in blocks, and its k
+    best of a query go on.  Queries are few and broadcast after a check of their number.
+    """
+    if not small_enough(queries, 100_000):
+        raise ValueError("too many dense queries for one pass; run them in blocks")
+    spark = vectors.sparkSession
+    asked = queries.collect()
+    names = np.array([r["query_id"] for r in asked])
+    q = spark.sparkContext.broadcast((names, _unit([r["q"] for r in asked])))
+    ids = {"query_id": queries.schema["query_id"].dataType, "id": vectors.schema["id"].dataType}
+
+    def run(batches):
+        names, wanted = q.value
+        for part in batches:
+            part = part.sort_values("id")
+            found, v = part["id"].to_numpy(), _unit(part["v"].tolist())
+            for at in range(0, len(wanted) if len(found) else 0, 256):
+                cos = np.round(wanted[at : at + 256] @ v.T, 6)
+                best = np.argsort(-cos, axis=1, kind="stable")[:, :k]
+                yield pd.DataFrame({"query_id": np.repeat(names[at : at + 256], best.shape[1]), "id": found[best].ravel(), "cosine": np.take_along_axis(cos, best, 1).ravel()})
+
+    rows = vectors.select("id", "v").mapInPandas(run, ", ".join([*(f"{n} {t.simpleString()}" for n, t in ids.items()), "cosine double"]))
+    order = Window.partitionBy("query_id").orderBy(F.col("cosine").desc(), "id")
+    return rows.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select("query_id", "rank", "id", "cosine")
+
+
+def _unit(rows: list) -> np.ndarray:
+    """Rows at length 1; those without length stay 0."""
+    m = np.array([np.asarray(r, dtype=np.float64) for r in rows])
+    norm = np.linalg.norm(m, axis=-1, keepdims=True) if len(m) else m
+    return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+
 def mean_code(chunks: DataFrame, key: str, vec: str = "q", scale: str = "scale", dims: int = 64) -> DataFrame:
     """Sign code of the scale-weighted mean of a document's chunk vectors.
 

@@ -152,6 +152,12 @@ def dense_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order).cast("long")).where("rank <= 10").select("query_id", "rank", "id", "cosine")
 
 
+def dense_cosine_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cosine of the stated queries against all rows: the ten best of each query."""
+    rows = C.table(spark, sf_dir, "embeddings").where("embedding IS NOT NULL").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return R.cosine_top(rows, rows.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q")), 10)
+
+
 def mean_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sign code of the mean vector of each label, unscaled."""
     rows = C.table(spark, sf_dir, "embeddings").select("label", F.lit(1.0).alias("scale"), F.transform("embedding", lambda x: F.round(x.cast("double") * 1000).cast("long")).alias("q"))
@@ -190,7 +196,7 @@ def path_field_bm25f(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     ask_topk, ask_batch, find_locations, ask_archived_flag, ask_archived_weight, scan_equals_clustered, tokenize_terms, query_terms,
     doc_term_freq, doc_lengths, corpus_stats, doc_frequency, idf_table, postings, posting_blocks, block_bounds,
-    rrf_fusion, rrf_offsets, sign_codes, hamming_topk, dense_cosine, mean_codes, hybrid_ask, path_field_bm25f)}
+    rrf_fusion, rrf_offsets, sign_codes, hamming_topk, dense_cosine, dense_cosine_exact, mean_codes, hybrid_ask, path_field_bm25f)}
 
 _BATCH = f"WITH {sql_scored(SQL_BENCH)}, top AS ({sql_top('scored', 5)})"
 _LANES = f"""WITH {sql_scored(SQL_BENCH)}, top AS ({sql_top('scored', 50)}),
@@ -237,6 +243,10 @@ ORACLES = {
         SELECT d.query_id, d.id, round(list_cosine_similarity(a.v::DOUBLE[], b.v::DOUBLE[]), 6) AS cosine
         FROM dense d JOIN codes a ON d.id = a.id JOIN codes b ON d.query_id = b.id)
         SELECT query_id, rank, id, cosine FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id) AS rank FROM cs) WHERE rank <= 10""",
+    "dense_cosine_exact": """WITH cs AS (
+        SELECT q.vec_id AS query_id, c.vec_id AS id, round(list_cosine_similarity(c.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS cosine
+        FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0 AND q.embedding IS NOT NULL AND c.embedding IS NOT NULL)
+        SELECT query_id, rank, id, cosine FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id) AS rank FROM cs) WHERE rank <= 10""",
     "mean_codes": f"""WITH e AS (SELECT label, unnest(embedding) AS x, unnest(range(0, 64)) AS i FROM embeddings),
         s AS (SELECT label, i, sum(round(CAST(x AS DOUBLE) * 1000)) AS s FROM e GROUP BY ALL),
         g AS (SELECT label, list(s ORDER BY i) AS v FROM s GROUP BY label) SELECT label, {_CODE} AS code FROM g""",

@@ -1,5 +1,6 @@
 """Queries that once did less than the whole job, against brute force over all rows."""
 
+import numpy as np
 import pytest
 
 from marlstone.operators import graph as G
@@ -47,3 +48,14 @@ def test_routes_by_suppliers_are_found(spark, sf_dir, fk):
     want = {(s, d) for s, d, _ in fk if s.startswith("order:") and d.startswith("supplier:") and region[nation[d]] == "region:0"}
     rows = catalogue.QUERIES["simple_routes_whole"](spark, sf_dir).collect()
     assert {(r["a"], r["steps"].split(" ")[0].removeprefix("ref>")) for r in rows if "supplier:" in r["steps"]} == want
+
+
+def test_exact_cosine_finds_the_best_of_all_rows(spark, sf_dir, duck):
+    rows = duck.sql("SELECT vec_id, embedding FROM embeddings WHERE embedding IS NOT NULL ORDER BY vec_id").fetchall()
+    ids, v = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=np.float64)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    want = {int(q): set(ids[np.lexsort((ids, -np.round(v @ v[i], 6)))[:10]].tolist()) for i, q in enumerate(ids) if q % 20 == 0}
+    got = {}
+    for r in catalogue.QUERIES["dense_cosine_exact"](spark, sf_dir).collect():
+        got.setdefault(r["query_id"], set()).add(r["id"])
+    assert got == want
