@@ -3,7 +3,7 @@
 Language identification rejects documents without a language, line dedup drops
 lines that an earlier document holds, near-dedup keeps one document of each
 group, decontamination drops documents that hold a benchmark window, and BPE
-turns the rest into token ids.
+turns the rest into token ids and decodes them.
 """
 
 from __future__ import annotations
@@ -51,8 +51,8 @@ def stage_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def stage_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of whole texts."""
-    return bpe(docs.select("doc_id", "text"), word_bpe_path(), decoded=False)
+    """Token ids of whole texts, and the text decoded from them."""
+    return bpe(docs.select("doc_id", "text"), word_bpe_path())
 
 
 STAGES = [
