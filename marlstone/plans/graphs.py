@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions import text as T
 from marlstone.operators import edges as E
 from marlstone.operators import graph as G
 from marlstone.plans import corpus as C
+from marlstone.plans import pages as P
 
 #: A small linked corpus: id, tags, links, code spans.
 FIXTURE = [
@@ -212,8 +213,85 @@ def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.communities(fk_edges(spark, sf_dir))
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, and all pages as Markdown: ``id, loc, front, body``."""
+    docs = C.records(spark, sf_dir).select("id", "loc", F.lit("").alias("front"), "body")
+    return docs.unionByName(P._pages(spark, sf_dir).select("id", "loc", F.col("head.title").alias("front"), "body"))
+
+
+def _file(node: str) -> Column:
+    return F.concat(F.translate(node, ":", "/"), F.lit(".md"))
+
+
+def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents, pages and foreign-key nodes, the last as files of a folder for each table."""
+    rows = G.nodes(fk_edges(spark, sf_dir)).select(F.concat(F.lit("file:"), _file("node")).alias("id"))
+    pages = C.table(spark, sf_dir, "pages").select(F.concat(F.lit("url:"), "url").alias("id"))
+    return rows.unionByName(C.records(spark, sf_dir).select("id")).unionByName(pages)
+
+
+def resolve_links_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of all texts, and every foreign key as a relative link."""
+    keys = fk_edges(spark, sf_dir).select(F.concat(F.lit("file:"), _file("src")).alias("src"), F.concat(F.lit("../"), _file("dst")).alias("target"))
+    links = _texts(spark, sf_dir).select(F.col("id").alias("src"), F.explode(T.link_targets(F.col("body"))).alias("target"))
+    return E.resolve_links(keys.unionByName(links), _known(spark, sf_dir))
+
+
+def resolve_code_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code spans of all texts, and every foreign key as a path in one."""
+    keys = fk_edges(spark, sf_dir).select(F.concat(F.lit("file:"), _file("src")).alias("src"), _file("dst").alias("span"))
+    spans = _texts(spark, sf_dir).select(F.col("id").alias("src"), F.explode(T.code_spans(F.col("body"))).alias("span"))
+    return E.resolve_code(keys.unionByName(spans), _known(spark, sf_dir))
+
+
+def dedupe_edges_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.dedupe(resolve_code_whole(spark, sf_dir).unionByName(resolve_links_whole(spark, sf_dir)))
+
+
+def drop_dangling_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All edges and the documents' tags after the suppliers are gone."""
+    tagged = E.tag_edges(C.records(spark, sf_dir).select("id", F.array("lang", "source").alias("tags")), "id", "tags")
+    return E.drop_dangling(dedupe_edges_whole(spark, sf_dir).unionByName(tagged), _known(spark, sf_dir).where("id NOT LIKE 'file:supplier/%'"))
+
+
+def basename_map_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.basenames(_known(spark, sf_dir)).select("name", "n", F.array_join("ids", " ").alias("ids"))
+
+
+def link_targets_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _texts(spark, sf_dir).select("id", F.array_join(T.link_targets(F.col("body")), " ").alias("targets"))
+
+
+def code_targets_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _texts(spark, sf_dir).select("id", F.array_join(T.code_spans(F.col("body")), "|").alias("spans"))
+
+
+def markdown_headings_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heads = T.headings(F.col("body"))
+    return _texts(spark, sf_dir).select("id", F.array_join(heads, "|").alias("headings"), T.title(F.col("front"), heads, F.col("loc")).alias("title"))
+
+
+def path_normalize_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of all documents and pages, and targets of their links from their folder."""
+    texts = _texts(spark, sf_dir)
+    links = texts.select("loc", F.explode(T.link_targets(F.col("body"))).alias("target")).select(F.concat_ws("/", T.parent_dir(F.col("loc")), "target").alias("path"))
+    rows = texts.select(F.col("loc").alias("path")).unionByName(links).distinct()
+    return rows.select("path", T.normalise_path(F.col("path")).alias("normal"), T.basename(F.col("path")).alias("base"))
+
+
+def explain_node_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A connected, an isolated and an unknown node of the foreign keys."""
+    edges = fk_edges(spark, sf_dir)
+    known = G.nodes(edges).withColumnRenamed("node", "id")
+    out = G.explain(edges, known, "order:1")
+    for node in ("region:0", "customer:999999999"):
+        out = out.unionByName(G.explain(edges, known, node))
+    return out
+
+
 QUERIES = {f.__name__: f for f in (
-    resolve_links, resolve_code, tag_edges, dedupe_edges, drop_dangling, basename_map, link_targets, code_targets, markdown_headings,
+    resolve_links_whole, resolve_code_whole, dedupe_edges_whole, drop_dangling_whole, basename_map_whole, link_targets_whole,
+    code_targets_whole, markdown_headings_whole, path_normalize_whole, explain_node_whole, resolve_links, resolve_code, tag_edges, dedupe_edges, drop_dangling, basename_map, link_targets, code_targets, markdown_headings,
     path_normalize, graph_edges, graph_degree, inbound_edges, explain_node, ppr_scores, ppr_expand, graph_neighbourhood,
     simple_routes, simple_routes_whole, graph_components, graph_components_whole, communities)}
 

@@ -59,3 +59,29 @@ def test_exact_cosine_finds_the_best_of_all_rows(spark, sf_dir, duck):
     for r in catalogue.QUERIES["dense_cosine_exact"](spark, sf_dir).collect():
         got.setdefault(r["query_id"], set()).add(r["id"])
     assert got == want
+
+
+def test_every_foreign_key_is_resolved(spark, sf_dir, fk):
+    file = lambda n: f"file:{n.replace(':', '/')}.md"
+    want = {(file(s), file(d)) for s, d, _ in fk}
+    for name in ("resolve_links_whole", "resolve_code_whole"):
+        assert want <= {(r["src"], r["dst"]) for r in catalogue.QUERIES[name](spark, sf_dir).collect()}
+    kept = {(r["src"], r["dst"]) for r in catalogue.QUERIES["drop_dangling_whole"](spark, sf_dir).collect()}
+    assert {e for e in want if "supplier/" not in e[1]} <= kept and not any("supplier/" in d for _, d in kept)
+
+
+@pytest.mark.parametrize("name", ["link_targets_whole", "code_targets_whole", "markdown_headings_whole"])
+def test_all_texts_are_scanned(spark, sf_dir, duck, name):
+    n = duck.sql("SELECT (SELECT count(*) FROM documents) + (SELECT count(*) FROM pages)").fetchall()[0][0]
+    assert catalogue.QUERIES[name](spark, sf_dir).count() == n
+
+
+def test_explained_node_has_all_its_edges(spark, sf_dir, fk):
+    rows = catalogue.QUERIES["explain_node_whole"](spark, sf_dir).collect()
+    assert {r["dst"] for r in rows if r["state"] == "connected"} == {d for s, d, _ in fk if s == "order:1"}
+    assert {r["doc"]: r["state"] for r in rows if r["state"] != "connected"} == {"region:0": "isolated", "customer:999999999": "unknown"}
+
+
+def test_paths_of_all_texts_are_normalised(spark, sf_dir, duck):
+    paths = {r["path"] for r in catalogue.QUERIES["path_normalize_whole"](spark, sf_dir).collect()}
+    assert {u for (u,) in duck.sql("SELECT url FROM pages").fetchall()} <= paths
