@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from marlstone.operators import graph as G
-from marlstone.plans import catalogue, graphs
+from marlstone.plans import catalogue, graphs, upkeep
 
 
 @pytest.fixture(scope="module")
@@ -85,3 +85,11 @@ def test_explained_node_has_all_its_edges(spark, sf_dir, fk):
 def test_paths_of_all_texts_are_normalised(spark, sf_dir, duck):
     paths = {r["path"] for r in catalogue.QUERIES["path_normalize_whole"](spark, sf_dir).collect()}
     assert {u for (u,) in duck.sql("SELECT url FROM pages").fetchall()} <= paths
+
+
+def test_gold_holds_the_whole_item(spark, tmp_path):
+    opening = "rollback storage ledger quartz " * 3
+    docs = [(1, opening + "other ending", "en", "src1", 1), (2, "filler words only", "en", "src1", 1)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, opening + "right ending")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [r["rank"] for r in upkeep._gold(spark, str(tmp_path)).collect()] == [None]
