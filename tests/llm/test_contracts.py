@@ -168,24 +168,6 @@ def test_code_switching_is_labelled_by_parts():
     assert language_id.Labeller(model).predict(["the house", None, "12 !", ""]) [1:] == [("und", 0.0)] * 3
 
 
-def test_exact_merging_where_speculation_fails(library):
-    with open(bpe.word_bpe_path(), encoding="utf-8") as f:
-        spec = f.read()
-    codec = bpe.SpeculativeBpe(spec, keep=50)
-    import random
-
-    rng = random.Random(3)
-    vocab = [w.removesuffix("</w>") for w in codec.vocab if w.isascii()]
-    texts = ["".join(rng.choice(vocab) for _ in range(rng.randint(1, 4))) for _ in range(3000)]
-    texts += ["", "<|startoftext|>a<|endoftext|>", "I'm you'll", "ΣΑΣ İ ﬁ ½ 中文 ́x", "a\x1cb c", "é é"]
-    got = [[int(i) for _, ids, _, _ in k for i in ids.split()] for k in codec.texts(texts)]
-    assert got == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
-    _, merged = codec.encode_words(sorted({p for t in texts[:500] for p in codec.pieces(t)}))
-    assert merged > 0
-    encoder = token_files.Encoder(spec, keep=50)
-    assert [np.frombuffer(b, "<u2").tolist() for b in encoder.encode(texts)] == got
-
-
 def test_permutations_and_formats():
     make = pii.Surrogates(b"key")
     for n in (2, 3, 30, 257):
