@@ -6,11 +6,14 @@ words are compared with those of each language by the Jensen-Shannon distance
 that are long enough; there are as many as there are languages, and each is a
 vector of fixed length.  All of it is column arithmetic inside one scan: the
 narrow counts are written once, and references and verdicts read only those.
+The words of a document are sorted and their runs counted, so its histogram
+lists only the common words that it holds.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import json
+import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,9 +35,28 @@ CLASSES = ("lower", "upper", "digit", "space", "symbol", "punct", "other")
 _SPACE_RE = r"[ \t\n\x0B\f\r]+"
 
 
-def _rest(text: str, keep: str) -> Column:
-    """How many code points of ``text`` lie in the class ``keep``."""
-    return F.length(F.regexp_replace(F.col(text), f"[^{keep}]+", ""))
+#: Punctuation that is trimmed off a word before it is looked up.
+_ENDS = ".,;:!?"
+
+
+def _modulus() -> int:
+    """The least modulus that keeps the checksums of all common words apart."""
+    sums, m = [zlib.crc32(w.encode()) for w in _COMMON], len(_COMMON)
+    while len({x % m for x in sums}) < len(sums):
+        m += 1
+    return m
+
+
+def _number(word: Column) -> Column:
+    """Place of a word that is known to be a common one."""
+    m = _modulus()
+    places = dict((zlib.crc32(w.encode()) % m, i) for i, w in enumerate(_COMMON))
+    return F.get(F.array(*[F.lit(places.get(i, -1)) for i in range(m)]), (F.crc32(word.cast("binary")) % m).cast("int"))
+
+
+def _kept(text: str, drop: str) -> Column:
+    """How many code points of ``text`` are left without the pattern ``drop``."""
+    return F.length(F.regexp_replace(F.col(text), drop, ""))
 
 
 def _repeated_words() -> Column:
@@ -55,74 +77,93 @@ def document_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Counts of whole texts: the base heuristics and the two histograms.
 
     Adds ``n_words word_chars n_symbols n_dup_lines n_repeat_words`` (long),
-    ``class_hist`` and ``word_hist`` (arrays of long) and drops the text.  Null
-    text has no words and empty histograms.
+    ``class_hist`` (array of long) and ``word_hist`` (array of (no, n), one for
+    each common word that the text holds and, last, one for all other words),
+    and drops the text.  Null text has no words and empty histograms.
     """
     clash = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "class_hist", "word_hist"} - {text_col}
     keep = [c for c in docs.columns if c not in clash and c != text_col]
     df = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("__q_text"))
+    blank = " \t\n\x0b\x0c\r"
+    split = lambda t, by: F.when(t != "", F.split(t, by, -1)).otherwise(F.array().cast("array<string>"))
     df = df.withColumns({
-        "__q_words": F.filter(F.split("__q_text", _SPACE_RE, -1), lambda w: w != ""),
-        "__q_lines": F.filter(F.split("__q_text", "\n", -1), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != ""),
+        "__q_words": split(F.btrim("__q_text", F.lit(blank)), _SPACE_RE),
+        "__q_lines": F.filter(F.split("__q_text", "\n", -1), lambda x: F.btrim(x, F.lit(blank)) != ""),
         "__q_chars": F.length("__q_text"),
-        "__q_space": _rest("__q_text", r" \t\n\x0B\f\r"),
-        "__q_letter": _rest("__q_text", r"\p{L}"),
-        "__q_upper": _rest("__q_text", r"\p{Lu}"),
-        "__q_digit": _rest("__q_text", "0-9"),
-        "__q_symbol": _rest("__q_text", "#*$%&|<>"),
-        "__q_punct": _rest("__q_text", r".,;:!?'\"()\-"),
+        "__q_lower": _kept("__q_text", r"\p{Lu}+"),
+        "__q_rest": F.regexp_replace("__q_text", r"\p{L}+", ""),
     }).drop("__q_text")
     df = df.withColumns({
+        "__q_left": F.length("__q_rest"),
+        "__q_nospace": _kept("__q_rest", _SPACE_RE),
+        "__q_nodigit": _kept("__q_rest", "[0-9]+"),
+        "__q_nosymbol": _kept("__q_rest", "[#*$%&|<>]+"),
+        "__q_nopunct": _kept("__q_rest", r"[.,;:!?'\"()\-]+"),
         "__q_n": F.size("__q_words"),
-        "__q_common": F.filter(F.transform("__q_words", lambda w: F.btrim(F.lower(w), F.lit(".,;:!?"))), lambda w: w.isin(*_COMMON)),
+        "__q_common": F.sort_array(F.filter(F.transform("__q_words", lambda w: F.btrim(F.lower(w), F.lit(_ENDS))), lambda w: w.isin(*_COMMON))),
         "__q_win": F.when(
             F.size("__q_words") >= 3,
             F.transform(F.sequence(F.lit(0), F.size("__q_words") - 3), lambda i: F.xxhash64(F.get("__q_words", i), F.get("__q_words", i + 1), F.get("__q_words", i + 2))),
         ),
-    }).drop("__q_words")
+    }).drop("__q_words", "__q_rest")
     ordered, repeated = _repeated_words()
     twice = F.size(F.array_distinct("__q_win")) < F.size("__q_win")
-    df = df.withColumn("__q_ord", F.when(twice, ordered))
-    hits = [F.size("__q_common") - F.size(F.array_remove("__q_common", c)) for c in _COMMON]
-    seven = ["__q_upper", "__q_digit", "__q_space", "__q_symbol", "__q_punct"]
+    df = df.withColumns({
+        "__q_ord": F.when(twice, ordered),
+        "__q_k": F.size("__q_common"),
+        "__q_starts": F.when(F.size("__q_common") > 0, F.filter(
+            F.sequence(F.lit(0), F.size("__q_common") - 1), lambda i: (i == 0) | (F.get("__q_common", i) != F.get("__q_common", i - 1)))),
+    })
+    part = lambda no, n: F.struct(no.cast("int").alias("no"), n.cast("long").alias("n"))
+    runs = F.transform("__q_starts", lambda i, j: part(_number(F.get("__q_common", i)), F.coalesce(F.get("__q_starts", j + 1), F.col("__q_k")) - i))
+    none = F.array().cast("array<struct<no:int,n:bigint>>")
+    size = F.col("__q_left")
+    space, digit, symbol, punct = (size - F.col(c) for c in ("__q_nospace", "__q_nodigit", "__q_nosymbol", "__q_nopunct"))
+    letter, upper = F.col("__q_chars") - size, F.col("__q_chars") - F.col("__q_lower")
     return df.select(
         *keep,
         F.col("__q_n").cast("long").alias("n_words"),
-        (F.col("__q_chars") - F.col("__q_space")).cast("long").alias("word_chars"),
-        F.col("__q_symbol").cast("long").alias("n_symbols"),
+        (F.col("__q_chars") - space).cast("long").alias("word_chars"),
+        symbol.cast("long").alias("n_symbols"),
         (F.size("__q_lines") - F.size(F.array_distinct("__q_lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.col("__q_ord").isNull(), F.lit(0)).otherwise(repeated).cast("long").alias("n_repeat_words"),
-        F.array(
-            F.col("__q_letter") - F.col("__q_upper"),
-            *seven,
-            F.col("__q_chars") - F.col("__q_letter") - reduce(lambda a, b: a + b, [F.col(c) for c in seven[1:]]),
-        ).cast("array<long>").alias("class_hist"),
-        F.array(*hits, F.col("__q_n") - F.size("__q_common")).cast("array<long>").alias("word_hist"),
+        F.array(letter - upper, upper, digit, space, symbol, punct, size - space - digit - symbol - punct).cast("array<long>").alias("class_hist"),
+        F.concat(F.coalesce(runs, none), F.array(part(F.lit(len(_COMMON)), F.col("__q_n") - F.col("__q_k")))).alias("word_hist"),
     )
 
 
-def language_references(stats: DataFrame, lang_col: str = "lang", min_words: int = 50) -> list[tuple[str, list[float], list[float]]]:
+def language_references(stats: DataFrame, lang_col: str = "lang", min_words: int = 50, max_languages: int = 1000) -> list[tuple[str, list[float], list[float]]]:
     """Shares of each class and common word in each language.
 
     Documents of fewer than ``min_words`` words or without a language are left
-    out.  The result has one vector pair for each language.
+    out.  One entry for each language, with two lists of fixed length.  A column
+    of more than ``max_languages`` values isn't one of languages: that raises.
     """
-    sums = lambda c, n: [F.sum(F.get(c, F.lit(i))).alias(f"{c}_{i}") for i in range(n)]
     n, m = len(CLASSES), len(_COMMON) + 1
-    rows = (
-        stats.where((F.col("n_words") >= min_words) & F.col(lang_col).isNotNull())
-        .groupBy(lang_col).agg(*sums("class_hist", n), *sums("word_hist", m)).orderBy(lang_col).collect()
-    )
-    share = lambda v: [x / max(1, sum(v)) for x in v]
-    return [(r[0], share(r[1 : n + 1]), share(r[n + 1 : n + m + 1])) for r in rows]
+    long = stats.where((F.col("n_words") >= min_words) & F.col(lang_col).isNotNull())
+    sums = lambda k: F.array(*[F.coalesce(F.sum(F.when(F.col("no") == i, F.col("n"))), F.lit(0)) for i in range(k)])
+    classes = long.select(F.col(lang_col).alias("lang"), F.posexplode("class_hist").alias("no", "n"))
+    words = long.select(F.col(lang_col).alias("lang"), F.inline("word_hist").alias("no", "n")).groupBy("lang", "no").agg(F.sum("n").alias("n"))
+    share = lambda c: F.transform(c, lambda x: x / F.greatest(F.lit(1), F.aggregate(c, F.lit(0).cast("long"), lambda s, y: s + y)))
+    classes = classes.groupBy("lang", "no").agg(F.sum("n").alias("n")).groupBy("lang").agg(sums(n).alias("c"))
+    words = words.groupBy("lang").agg(sums(m).alias("w"))
+    found = classes.join(words, "lang").select("lang", share("c").alias("classes"), share("w").alias("words")).limit(max_languages + 1).collect()
+    if len(found) > max_languages:
+        raise ValueError(f"{lang_col} has more than {max_languages} values")
+    return sorted((r["lang"], r["classes"], r["words"]) for r in found)
 
 
-def js_distance(p: Column, q: list[float]) -> Column:
-    """Jensen-Shannon distance between a share array and a fixed one."""
+def js_distance(p: Column, q: Column, total: Column) -> Column:
+    """Jensen-Shannon distance (base 2) between shares and a reference.
+
+    ``p`` is an array of (no, p) with the places that are not 0, and ``q`` the
+    reference's whole array, whose sum is ``total``.  A place that only the
+    reference has adds its whole share, so those need no look.
+    """
     part = lambda a, m: F.when(a > 0, a * F.log2(a / m)).otherwise(F.lit(0.0))
-    ref = F.array(*[F.lit(float(x)) for x in q])
-    terms = F.zip_with(p, ref, lambda a, b: part(a, (a + b) / 2) + part(b, (a + b) / 2))
-    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / 2))
+    both = lambda a, b: part(a, (a + b) / 2) + part(b, (a + b) / 2) - b
+    found = F.aggregate(p, F.lit(0.0), lambda s, x: s + both(x.getField("p"), F.get(q, x.getField("no"))))
+    return F.sqrt(F.greatest(F.lit(0.0), (found + total) / 2))
 
 
 def judge(stats: DataFrame, references: list[tuple[str, list[float], list[float]]], min_words: int = 50, max_repeat_percent: int = 50, max_class_js: float = 0.28, max_word_js: float = 0.25, word_slack: float = 1.0) -> DataFrame:
@@ -133,30 +174,33 @@ def judge(stats: DataFrame, references: list[tuple[str, list[float], list[float]
     ``min_words`` words never gets to the distances.  A histogram of n words
     strays from its language by about 1/sqrt(n), so ``max_word_js`` is widened
     by ``word_slack / sqrt(n_words)``.  Without any reference the distances are
-    null and only the base rules decide.
+    null and only the base rules decide.  The references are one literal, so
+    the plan doesn't grow with the languages.
     """
-    share = lambda c: F.transform(c, lambda x: x / F.greatest(F.lit(1), F.aggregate(c, F.lit(0).cast("long"), lambda s, y: s + y)))
+    share = lambda h: F.transform(h, lambda x: F.struct(x.getField("no").alias("no"), (x.getField("n") / F.greatest(F.lit(1), F.aggregate(h, F.lit(0).cast("long"), lambda s, y: s + y.getField("n")))).alias("p")))
+    listed = json.dumps([{"classes": c, "words": w, "tc": sum(c), "tw": sum(w)} for _, c, w in references])
+    listed = F.from_json(F.lit(listed), "array<struct<classes:array<double>,words:array<double>,tc:double,tw:double>>")
     df = stats.withColumns({
         "base_failed": (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")),
-        "__q_c": share("class_hist"),
-        "__q_w": share("word_hist"),
+        "__q_c": share(F.transform("class_hist", lambda x, i: F.struct(i.alias("no"), x.alias("n")))),
+        "__q_w": share(F.col("word_hist")),
     })
-    if references:
-        pairs = F.array(*[F.struct((js_distance(F.col("__q_c"), c) + js_distance(F.col("__q_w"), w)).alias("s"), js_distance(F.col("__q_c"), c).alias("c"), js_distance(F.col("__q_w"), w).alias("w")) for _, c, w in references])
-        df = df.withColumn("__q_best", F.array_min(pairs))
-        df = df.withColumns({"class_js": F.col("__q_best.c"), "word_js": F.col("__q_best.w")}).drop("__q_best")
-    else:
-        df = df.withColumns({"class_js": F.lit(None).cast("double"), "word_js": F.lit(None).cast("double")})
+    apart = F.transform(listed, lambda r: F.struct(
+        js_distance(F.col("__q_c"), r.getField("classes"), r.getField("tc")).alias("c"), js_distance(F.col("__q_w"), r.getField("words"), r.getField("tw")).alias("w")))
+    df = df.withColumn("__q_apart", apart)
+    df = df.withColumn("__q_best", F.array_min(F.transform("__q_apart", lambda x: F.struct((x.getField("c") + x.getField("w")).alias("s"), x.getField("c").alias("c"), x.getField("w").alias("w")))))
+    df = df.withColumns({"class_js": F.col("__q_best.c"), "word_js": F.col("__q_best.w")})
     near = (F.coalesce("class_js", F.lit(0.0)) <= max_class_js) & (F.coalesce("word_js", F.lit(0.0)) <= max_word_js + word_slack / F.sqrt(F.greatest(F.lit(1), "n_words")))
-    return df.drop("__q_c", "__q_w").withColumn("kept", ~F.col("base_failed") & near)
+    return df.drop("__q_c", "__q_w", "__q_apart", "__q_best").withColumn("kept", ~F.col("base_failed") & near)
 
 
 def quality_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", **limits) -> DataFrame:
     """Judge every document; the text is dropped, other columns stay.
 
     Input columns named like an added one are replaced.  Null and empty texts
-    have no words and fail the base rules.  Repeated rows are judged alike and
-    an empty table gives an empty one.
+    have no words and fail the base rules.  Texts of any length are read whole,
+    as one row each.  Repeated rows are judged alike and an empty table gives an
+    empty one.
     """
     clash = [c for c in ("base_failed", "class_js", "word_js", "kept") if c in docs.columns]
     stats = materialise(document_stats(docs.drop(*clash), text_col), "quality")

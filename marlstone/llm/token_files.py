@@ -38,7 +38,7 @@ _PLACES = pa.schema([("byte", pa.int64())])
 
 
 def _sequences(dtype: np.dtype, seq_len: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(dtype), seq_len)), ("mask", pa.list_(pa.uint8(), seq_len))])
+    return pa.schema([("ids", pa.list_(pa.from_numpy_dtype(dtype), seq_len)), ("mask", pa.list_(pa.bool_(), seq_len))])
 
 
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -154,7 +154,7 @@ class ShardWriter:
         self.held, self.n_held = [rest.copy()], len(rest)
 
     def _write(self, flat: np.ndarray, real: int) -> None:
-        mask = (np.arange(len(flat)) < real).astype(np.uint8)
+        mask = np.arange(len(flat)) < real
         self.batches.append(self.sink.tell() or self.schema.serialize().size)  # the schema goes out with the first batch
         self.out.write_batch(pa.RecordBatch.from_arrays(
             [pa.FixedSizeListArray.from_arrays(pa.array(x), self.seq_len) for x in (flat, mask)], schema=self.schema))
@@ -234,11 +234,14 @@ class Shard:
             self.near = (i, pa.ipc.read_record_batch(pa.ipc.read_message(self.source), self.schema))
         return self.near[1]
 
-    def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of sequence ``i``, both views of the file where it is local."""
-        batch, row = self.batch(i // self.rows), i % self.rows
-        here = slice(row * self.seq_len, (row + 1) * self.seq_len)
-        return tuple(batch.column(c).flatten()[here].to_numpy(zero_copy_only=True) for c in (0, 1))
+    def sequence(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """Ids and mask of sequence ``i``, both views of the file where it is local.
+
+        The mask is bit-packed, so its view is an Arrow array.
+        """
+        batch, at = self.batch(i // self.rows), i % self.rows * self.seq_len
+        ids, mask = (batch.column(c).flatten().slice(at, self.seq_len) for c in (0, 1))
+        return ids.to_numpy(zero_copy_only=True), mask
 
     def ids(self, at: int, n: int) -> np.ndarray:
         """The ``n`` ids from place ``at`` of the shard."""

@@ -127,7 +127,10 @@ def test_sequences_and_masks_are_views_of_the_file(spark):
         shard = token_files.Shard(row["path"], row["index"])
         seqs = [shard.sequence(i) for i in reversed(range(row["n_sequences"]))][::-1]
         for part, mask in seqs:
-            assert not part.flags.owndata and not mask.flags.owndata and mask.dtype == np.uint8
-            ids += part[mask.astype(bool)].tolist()
+            assert not part.flags.owndata and len(mask) == len(part)
+            ids += part[mask.to_numpy(zero_copy_only=False)].tolist()
+        batch = shard.batch(0)
+        places = {c: batch.column(c).flatten().buffers()[1].address for c in (0, 1)}
+        assert shard.sequence(1)[0].ctypes.data == places[0] + 32 and shard.sequence(1)[1].buffers()[1].address == places[1]
     codec = bpe.SpeculativeBpe(open(bpe.word_bpe_path(), encoding="utf-8").read())
     assert ids == [t for i in range(40) for t in [*codec.encode("some words " * i), 1]]
