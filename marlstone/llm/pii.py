@@ -5,12 +5,18 @@ ranges, a cue or a two-part name for persons) and replaced by surrogates that
 look alike: digits by digits, letters by letters of the same case and script,
 names by names of the same gender, numbers with valid check digits.
 
-A surrogate is a keyed permutation of the values of its exact format, moved so
-that no value maps to itself.  One entity therefore gets one surrogate in the
-whole corpus, whichever task meets it, and different entities of a format get
-different ones: coreference and distinctness need no table and no shuffle.  A
-check per document still looks for collisions between formats, and with
-entities that the text itself holds, and draws again under the next tweak.
+A surrogate is the value's successor on one keyed circle of all values of its
+exact format.  Values that would leave the type or the format (a public address
+for a private one, hexadecimal digits for other letters, a listed name for an
+unlisted one) are passed over, which leaves a circle of the rest.  So a surrogate
+depends on the key and the entity alone: an entity has the same one in the whole
+corpus, whichever task meets it; different entities of a format have different
+ones; formats don't share values; and no value is its own surrogate.  Coreference
+and distinctness need no table, no shuffle and no second draw.
+
+Entities are compared without what their writing may vary: the case of emails
+and names, the separators of numbers, the notation of addresses.  The surrogate
+then takes on the writing of the mention that it replaces.
 """
 
 from __future__ import annotations
@@ -44,6 +50,12 @@ _ALPHABETS = [
     "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ",
 ]
 _CLASS = {c: (a, i) for a in _ALPHABETS for i, c in enumerate(a)}
+#: In names vowels stay vowels, so that they can be spoken.
+_SPOKEN = {**_CLASS, **{c: (a, i) for a in ("aeiou", "bcdfghjklmnpqrstvwxyz", "àáâãäåæèéêëìíîïòóôõöøùúûü", "çñý", "αεηιουω", "βγδζθκλμνξπρστφχψ", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщъь") for i, c in enumerate(a)}}
+#: Beginnings that tell what a secret is for.
+_PREFIX = re.compile(r"(?:AKIA|ASIA|gh[pousr]_|sk-|xox[abprs]-|AIza)?")
+#: Address ranges whose addresses stay among themselves.
+_RANGES = [ipaddress.IPv4Network(n) for n in "0.0.0.0/8 10.0.0.0/8 100.64.0.0/10 127.0.0.0/8 169.254.0.0/16 172.16.0.0/12 192.168.0.0/16 224.0.0.0/3".split()]
 _HEX = {"0123456789abcdef": re.compile(r"[0-9a-f]+"), "0123456789ABCDEF": re.compile(r"[0-9A-F]+")}
 
 
@@ -90,103 +102,144 @@ def luhn(digits: str) -> bool:
 
 
 class Surrogates:
-    """Replacements under one key."""
+    """Replacements under one key; ``find`` depends on the kind and the value alone."""
 
     def __init__(self, key: bytes):
         self.perm = Permutation(key)
         self.find = lru_cache(100_000)(self._find)
 
-    def letters(self, text: str, kind: str, tweak: str) -> str:
-        """Permute the values of the text's exact format; other characters stay."""
-        places = [(i, *_CLASS[c]) for i, c in enumerate(text) if c in _CLASS]
+    def _next(self, value: int, size: int, tweak: str, stays=lambda v: True) -> int:
+        """The next value on the circle that ``stays`` allows."""
+        while True:
+            value = self.perm.of(value, size, tweak.encode())
+            if stays(value):
+                return value
+
+    def letters(self, text: str, kind: str, stays=lambda t: True, classes=_CLASS) -> str:
+        """The next text of the same exact format; characters without a class stay."""
+        places = [(i, *classes[c]) for i, c in enumerate(text) if c in classes]
         total, value = 1, 0
         for _, alphabet, digit in places:
             total *= len(alphabet)
             value = value * len(alphabet) + digit
-        shape = "".join(_CLASS[c][0][0] if c in _CLASS else c for c in text)
-        value = self.perm.of(value, total, f"{kind}|{tweak}|{shape}".encode())
-        out = list(text)
-        for i, alphabet, _ in reversed(places):
-            value, digit = divmod(value, len(alphabet))
-            out[i] = alphabet[digit]
-        return "".join(out)
+        shape = "".join(classes[c][0][0] if c in classes else c for c in text)
+
+        def spell(value: int) -> str:
+            out = list(text)
+            for i, alphabet, _ in reversed(places):
+                value, digit = divmod(value, len(alphabet))
+                out[i] = alphabet[digit]
+            return "".join(out)
 
-    def _hex(self, text: str, tweak: str) -> str:
+        return spell(self._next(value, total, f"{kind}|{shape}", lambda v: stays(spell(v))))
+
+    def _secret(self, text: str) -> str:
+        head = _PREFIX.match(text)[0]
+        rest = text[len(head) :]
         for digits, pattern in _HEX.items():
-            if pattern.fullmatch(text) and re.search("[a-fA-F]", text):
-                value = self.perm.of(int(text, 16), 16 ** len(text), f"hex|{tweak}|{len(text)}|{digits[-1]}".encode())
-                return format(value, f"0{len(text)}{'x' if digits[-1] == 'f' else 'X'}")
-        return self.letters(text, "secret", tweak)
+            if _hexadecimal(rest, pattern):
+                spell = lambda v: format(v, f"0{len(rest)}{'x' if digits[-1] == 'f' else 'X'}")
+                return head + spell(self._next(int(rest, 16), 16 ** len(rest), f"hex|{head}|{len(rest)}|{digits[-1]}", lambda v: _hexadecimal(spell(v), pattern)))
+        return head + self.letters(rest, f"secret|{head}", lambda t: not any(_hexadecimal(t, p) for p in _HEX.values()) and not _PREFIX.match(t)[0])
 
-    def _digits(self, text: str, kind: str, tweak: str, keep: int = 0, check: bool = False) -> str:
-        """Permute the digits after the first ``keep``; the last may be a Luhn digit."""
+    def _digits(self, text: str, kind: str, keep: int = 0, check: bool = False) -> str:
+        """The digits after the first ``keep`` change; the last may be a Luhn digit."""
         at = [i for i, c in enumerate(text) if c.isdigit()]
         body = at[keep : len(at) - check]
         head = "".join(text[i] for i in at[:keep])
         n = len(body)
-        value = self.perm.of(int("".join(text[i] for i in body)), 10**n, f"{kind}|{tweak}|{head}|{n}|{check}".encode())
-        out = list(text)
-        for i, c in zip(body, str(value).zfill(n)):
-            out[i] = c
-        if check:
-            for c in "0123456789":
-                out[at[-1]] = c
-                if luhn("".join(out[i] for i in at)):
-                    break
-        return "".join(out)
 
-    def _address(self, text: str, tweak: str) -> str:
+        def spell(value: int) -> str:
+            out = head + str(value).zfill(n)
+            return next(out + c for c in "0123456789" if luhn(out + c)) if check else out
+
+        stays = (lambda v: True) if kind != "card" or check else (lambda v: not luhn(spell(v)))
+        found = iter(spell(self._next(int("".join(text[i] for i in body)), 10**n, f"{kind}|{head}|{n}|{check}", stays)))
+        return "".join(next(found) if c.isdigit() else c for c in text)
+
+    def _address(self, text: str) -> str:
         if ":" in text:
-            value = int(ipaddress.IPv6Address(text))
-            low = self.perm.of(value & ((1 << 125) - 1), 1 << 125, f"ip6|{tweak}".encode())
-            return ipaddress.IPv6Address((value >> 125 << 125) | low).exploded
-        size = 223 * 256**3 - 256**3
-        value = int(ipaddress.IPv4Address(text)) - 256**3
-        if not 0 <= value < size:
-            return str(ipaddress.IPv4Address(self.perm.of(value + 256**3, 1 << 32, f"ip4all|{tweak}".encode())))
-        return str(ipaddress.IPv4Address(self.perm.of(value, size, f"ip4|{tweak}".encode()) + 256**3))
-
-    def _iban(self, text: str, tweak: str) -> str:
+            return self._address6(text)
+        value = int(ipaddress.IPv4Address(text))
+        for net in _RANGES:
+            if ipaddress.IPv4Address(value) in net:
+                base = int(net.network_address)
+                return str(ipaddress.IPv4Address(base + self._next(value - base, net.num_addresses, f"ip4|{net}")))
+        return str(ipaddress.IPv4Address(self._next(value, 1 << 32, "ip4", lambda v: not any(ipaddress.IPv4Address(v) in net for net in _RANGES))))
+
+    def _address6(self, text: str) -> str:
+        """Groups of zeros and the first group stay; others keep their number of digits."""
+        groups = [int(g, 16) for g in ipaddress.IPv6Address(text).exploded.split(":")]
+        moved = [i for i, g in enumerate(groups) if g and i] or [0]
+        sizes = [len(format(groups[i], "x")) for i in moved]
+        total, value = 1, 0
+        for i, n in zip(moved, sizes):
+            total *= 15 * 16 ** (n - 1)
+            value = value * 15 * 16 ** (n - 1) + groups[i] - 16 ** (n - 1)
+        shape = ":".join(format(g, "x") if i not in moved else "*" * len(format(g, "x")) for i, g in enumerate(groups))
+        value = self._next(value, total, f"ip6|{shape}")
+        made = list(groups)
+        for i, n in zip(reversed(moved), reversed(sizes)):
+            value, low = divmod(value, 15 * 16 ** (n - 1))
+            made[i] = low + 16 ** (n - 1)
+        shown = text.split(":")
+        before = shown.index("") if "::" in text else 8
+        places = [i if i < before else 8 - len(shown) + i for i in range(len(shown))]
+        return ":".join(g and (format(made[p], f"0{len(g)}x").upper() if g.upper() == g else format(made[p], f"0{len(g)}x")) for g, p in zip(shown, places))
+
+    def _iban(self, text: str) -> str:
         flat = text.replace(" ", "")
-        made = flat[:2] + "00" + self.letters(flat[4:], "iban", f"{tweak}|{flat[:2]}")
+        made = flat[:2] + "00" + self.letters(flat[4:], f"iban|{flat[:2]}")
         number = "".join(str(int(c, 36)) for c in made[4:] + made[:4])
-        made = f"{made[:2]}{98 - int(number) % 97:02d}{made[4:]}"
-        it = iter(made)
+        it = iter(f"{made[:2]}{98 - int(number) % 97:02d}{made[4:]}")
         return "".join(" " if c == " " else next(it) for c in text)
 
-    def _name(self, text: str, tweak: str) -> str:
+    def _name(self, text: str) -> str:
+        """Listed names become names of the same list; in others vowels stay vowels and a final vowel stays."""
         out = []
         for part in re.split(r"([\s-]+)", text):
-            pool = _GENDER.get(part.lower()) or _FAMILY.get(part.lower())
+            low = part.lower()
+            pool = _GENDER.get(low) or _FAMILY.get(low)
             if pool:
-                at = [n.lower() for n in pool].index(part.lower())
-                new = pool[self.perm.of(at, len(pool), f"name|{tweak}|{pool[0]}".encode())]
-                new = new.upper() if part.isupper() and len(part) > 1 else new.lower() if part.islower() else new
-                out.append(new)
+                new = pool[self._next([n.lower() for n in pool].index(low), len(pool), f"name|{pool[0]}")]
+                out.append(new.upper() if part.isupper() else new.lower() if part.islower() else new)
             else:
-                out.append(self.letters(part, "name", tweak))
+                stem = low[:-1] if low and _SPOKEN.get(low[-1], ("",))[0][:1] in tuple("aàαа") else low
+                new = self.letters(stem, f"name|{low[len(stem):]}", lambda t: t + low[len(stem) :] not in _GENDER and t + low[len(stem) :] not in _FAMILY, _SPOKEN)
+                out.append(_cased(new + low[len(stem) :], part))
         return "".join(out)
 
-    def _find(self, kind: str, value: str, tweak: str) -> str:
+    def _find(self, kind: str, value: str) -> str:
         if kind == "email":
             local, _, host = value.rpartition("@")
             name, dot, top = host.rpartition(".")
-            return f"{self.letters(local, 'local', tweak + host.lower())}@{self.letters(name, 'host', tweak)}{dot}{top}"
+            made = f"{self.letters(local.lower(), 'local|' + host.lower())}@{self.letters(name.lower(), 'host|' + top.lower())}{dot}{top.lower()}"
+            return _cased(made, value)
         if kind == "card":
-            return self._digits(value, kind, tweak, 1, luhn(re.sub(r"\D", "", value)))
-        if kind in ("ssn", "number"):
-            return self._digits(value, kind, tweak)
+            return self._digits(value, kind, 1, luhn(re.sub(r"\D", "", value)))
         if kind == "phone":
-            digits = sum(c.isdigit() for c in value)
-            keep = min(len(re.match(r"(?:\+(\d{1,3})\b)?", value)[1] or ""), digits - 1)
-            return self._digits(value, kind, tweak, keep)
+            digits = re.sub(r"\D", "", value)
+            return self._digits(value, f"phone{value[:1] == '+'}", min(2, len(digits) - 1) if value[:1] == "+" else int(digits[0] == "0"))
+        if kind == "ssn":
+            return self._digits(value, kind)
         if kind == "ip":
-            return self._address(value, tweak)
+            return self._address(value)
         if kind == "iban":
-            return self._iban(value, tweak)
+            return self._iban(value)
         if kind == "secret":
-            return self._hex(value, tweak)
-        return self._name(value, tweak)
+            return self._secret(value)
+        return self._name(value)
+
+
+def _hexadecimal(text: str, pattern: re.Pattern) -> bool:
+    return bool(pattern.fullmatch(text) and re.search("[a-fA-F]", text) and re.search("[0-9]", text))
+
+
+def _cased(made: str, like: str) -> str:
+    """``made`` with the case of ``like``, letter by letter; both are of one length but for rare letters."""
+    if len(made) != len(like):
+        return made
+    return "".join(u if o.isupper() and len(u := c.upper()) == 1 else c for c, o in zip(made, like))
 
 
 #: What each type looks like, in order of precedence.
@@ -194,7 +247,7 @@ PATTERNS = {
     "email": r"[^\s@<>()\[\],;:\"'|=]+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}",
     "secret": r"(?i:(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|key)[\"']?\s*[=:]\s*)[\"']?(?P<secret>[A-Za-z0-9+/_\-.]{8,})|\b(?P<prefixed>(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{30,}|(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{32,})\b",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b",
-    "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)|(?<![\w:])(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}(?![\w:])",
+    "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)|(?<![\w:.])(?=[0-9a-fA-F:]*[0-9])[0-9a-fA-F]{0,4}(?::[0-9a-fA-F]{0,4}){2,7}(?![\w:.])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\d.+-])\d(?:[ -]?\d){12,18}(?![\d-])",
     "phone": r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,5}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{2,5}\)[ .-]?\d{3,4}[ .-]\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4}|0\d{1,4}[ /-]\d{3,4}[ -]?\d{3,5})(?![\w-])",
@@ -206,6 +259,13 @@ _COMPILED = {k: re.compile(v) for k, v in PATTERNS.items()}
 _MAYBE = re.compile(r"[0-9@=:]")
 
 
+def _is_address6(text: str) -> bool:
+    try:
+        return int(ipaddress.IPv6Address(text)) > 0
+    except ValueError:
+        return False
+
+
 def entities(text: str) -> list[tuple[int, int, str]]:
     """Spans and types, in order and without overlap; earlier types win."""
     found: list[tuple[int, int, str]] = []
@@ -218,6 +278,8 @@ def entities(text: str) -> list[tuple[int, int, str]]:
                 span = m.span(group)
                 if kind == "card" and not 13 <= sum(c.isdigit() for c in m[0]) <= 19:
                     continue
+                if kind == "ip" and ":" in m[0] and not _is_address6(m[0]):
+                    continue
                 found.append((*span, kind))
     for m in _PERSON.finditer(text):
         found.append((*m.span(m.lastgroup), "person"))
@@ -234,33 +296,30 @@ def entities(text: str) -> list[tuple[int, int, str]]:
 
 
 def _form(kind: str, value: str) -> str:
-    return value.lower() if kind in ("email", "person") else re.sub(r"\D", "", value) if kind in ("card", "phone", "ssn") else value
+    """What of a value tells entities apart."""
+    if kind in ("email", "person"):
+        return value.lower()
+    if kind in ("card", "phone", "ssn"):
+        return ("+" if value[:1] == "+" else "") + re.sub(r"\D", "", value)
+    if kind == "ip":
+        return str(ipaddress.ip_address(value))
+    return value.replace(" ", "") if kind == "iban" else value
 
 
 def replace(text: str, make: Surrogates) -> tuple[str, list[tuple[str, str, str]]]:
     """The text with surrogates, and (type, entity, surrogate) in order.
 
-    Equal entities get equal surrogates.  A surrogate that equals another
-    entity's, or an entity of this text, is drawn again under the next tweak.
+    Each surrogate is a function of the key, the type and the value.
     """
     spans = entities(text)
     if not spans:
         return text, []
-    own = {text[a:b] for a, b, _ in spans}
-    chosen: dict[tuple[str, str], str] = {}
-    used: dict[str, tuple[str, str]] = {}
     out, at, made = [], 0, []
     for a, b, kind in spans:
         value = text[a:b]
-        ident = (kind, value)
-        if ident not in chosen:
-            for tweak in range(100):
-                new = make.find(kind, value, str(tweak))
-                if new not in own and used.get(new, ident) == ident:
-                    break
-            chosen[ident], used[new] = new, ident
-        out += [text[at:a], chosen[ident]]
-        made.append((kind, value, chosen[ident]))
+        new = make.find(kind, value)
+        out += [text[at:a], new]
+        made.append((kind, value, new))
         at = b
     return "".join([*out, text[at:]]), made
 
@@ -275,7 +334,7 @@ def replace_pii(docs: DataFrame, key: str, text_col: str = "text", with_entities
     replaced.
 
     Null text stays null and has no entities; text without entities stays as it
-    is.  Rows are independent and equal entities get equal surrogates under a
+    is; texts of any length are read whole.  Rows are independent and equal entities get equal surrogates under a
     key, so repeated rows stay repeated.  An empty table gives an empty one.
     """
     added = [("n_entities", "long", pa.int64())]
