@@ -6,23 +6,26 @@
 2. Nodes that share a band meet in a bucket.  A bucket's pairs are compared on
    signatures, batch by batch; after each batch a pair goes if the posterior
    probability that it is similar enough falls below ``miss``.  A bucket gives
-   back a spanning forest of what survives and never its pairs.  Buckets of more
-   than ``bucket_rows`` nodes are not opened: each member is tied to the first.
-   That ties too much together at worst, which the next step undoes.
+   back a spanning forest of what survives and never its pairs.
 3. The parts so tied are candidate clusters, and all possible links lie inside
-   them.  Large clusters are cut into blocks, and every pair of blocks is a task
-   of bounded size.  It prunes by signatures again, compares the survivors that
-   are not yet connected on their full sets, and gives back a spanning forest.
+   them.  A cluster's pairs are pruned by signatures again, the survivors that
+   are not yet connected are compared on their full sets, and a spanning forest
+   of the exact links comes back.
 4. Components of the exact links are found by contraction: each round ties
    every node to its smallest neighbour and joins the edges anew.
 
-No pair of members is ever a row; a task holds two blocks at most; and cost in a
-large group of near copies is linear but for members that link to no centre.
+Buckets and clusters of any size are worked through alike (``forest_links``):
+members are dealt into blocks, and each block is a task that also holds a few
+leaders of the whole group.  Near copies meet their leader there and are
+connected across blocks.  Only members outside a group's largest tree are then
+compared with the other blocks.  So texts travel once or twice, cost in a large
+group of near copies is linear, no pair of members is ever a row, and a task
+holds two blocks at most.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import groupby
 from math import comb
 
@@ -31,6 +34,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.window import Window
 
 from marlstone.llm.batches import slices
 from marlstone.llm.common import materialise, table
@@ -129,27 +134,60 @@ class Forest:
                 self.links.append((i, j))
 
 
-def bucket_forest(sigs: np.ndarray, needed: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Spanning forest of the pairs of a bucket that survive the signatures."""
-    forest = Forest(len(sigs))
-    for i in range(len(sigs) - 1):
-        rest = np.flatnonzero(forest.root[i + 1 :] != forest.root[i]) + i + 1
+def _started(n: int, trees: np.ndarray | None) -> Forest:
+    """A forest in which members of one tree are connected already."""
+    forest = Forest(n)
+    if trees is not None:
+        known = np.flatnonzero(trees >= 0)
+        _, first, back = np.unique(trees[known], return_index=True, return_inverse=True)
+        forest.root[known] = known[first[back]]
+    return forest
+
+
+def sketch_forest(sigs: np.ndarray, side: np.ndarray, trees: np.ndarray | None, needed: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spanning forest of the pairs that survive the signatures.
+
+    ``side`` is 0 and 1 for two blocks, of which only pairs across count, and
+    all 0 for a block with itself.
+    """
+    forest, across = _started(len(sigs), trees), bool(side.any())
+    for i in np.flatnonzero(side == side.max()).tolist():
+        rest = forest.root != forest.root[i]
+        if across:
+            rest &= side == 0
+        else:
+            rest[: i + 1] = False
+        rest = np.flatnonzero(rest)
         if len(rest):
             forest.join(i, rest[survivors(sigs[i], sigs[rest], needed)])
     return forest.links
 
 
-def exact_forest(sets: list[np.ndarray], sigs: np.ndarray, side: np.ndarray, needed: list[tuple[int, int]], percent: int) -> list[tuple[int, int]]:
-    """Spanning forest of the exact links of a block pair.
+def leaders(sigs: np.ndarray, needed: list[tuple[int, int]], most: int) -> list[int]:
+    """Members that many others of a sample are near to.
 
-    ``side`` is 0 and 1 for two blocks, of which only pairs across count, and
-    all 0 for a block with itself.  The members closest to the most frequent
-    bytes come first, as centres; after them only members outside the largest
-    part are compared with whatever is not connected to them.
+    The one closest to the most frequent bytes leads whom it survives with; then
+    the same among the others.  This only saves work: no link depends on it.
+    """
+    left, out = np.arange(len(sigs)), []
+    while len(left) and len(out) < most:
+        top = np.array([np.bincount(c, minlength=256).argmax() for c in sigs[left].T], np.uint8)
+        lead = left[(sigs[left] == top).sum(1).argmax()]
+        out.append(int(lead))
+        left = np.setdiff1d(left, np.r_[lead, left[survivors(sigs[lead], sigs[left], needed)]])
+    return out
+
+
+def exact_forest(sets: list[np.ndarray], sigs: np.ndarray, side: np.ndarray, trees: np.ndarray | None, needed: list[tuple[int, int]], percent: int) -> list[tuple[int, int]]:
+    """Spanning forest of the exact links of one block, or across two.
+
+    The members closest to the most frequent bytes come first, as centres;
+    after them only members outside the largest part are compared with whatever
+    is not connected to them.
     """
     n, sizes = len(sets), np.array([len(s) for s in sets], dtype=np.int64)
     flat, ends = np.concatenate(sets), np.cumsum(sizes)
-    forest, across = Forest(n), bool(side.any())
+    forest, across = _started(n, trees), bool(side.any())
 
     def compare(i: int) -> None:
         other = forest.root != forest.root[i]
@@ -169,14 +207,17 @@ def exact_forest(sets: list[np.ndarray], sigs: np.ndarray, side: np.ndarray, nee
             common = np.add.reduceat((sets[i][place] == values).astype(np.int64), np.r_[0, np.cumsum(sizes[part])[:-1]])
             forest.join(i, part[100 * common >= percent * (sizes[part] + sizes[i] - common)])
 
-    if n > 16:
+    if n > 16 and not across:
         for s in {0, int(side.max())}:
             own = np.flatnonzero(side == s)
             top = np.array([np.bincount(c, minlength=256).argmax() for c in sigs[own].T], np.uint8)
             for i in own[np.argsort(-(sigs[own] == top).sum(1), kind="stable")[:3]].tolist():
                 compare(i)
-    largest = np.bincount(forest.root, minlength=n).argmax()
-    for i in np.flatnonzero(forest.root != largest).tolist():
+    if across:
+        queue = np.flatnonzero(side == 1)
+    else:
+        queue = np.flatnonzero(forest.root != np.bincount(forest.root, minlength=n).argmax())
+    for i in queue.tolist():
         compare(i)
     return forest.links
 
@@ -225,7 +266,65 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = 24, rows: int = 3, miss: float = 1e-6, batch: int = 12, bucket_rows: int = 256, block_nodes: int = 2000, block_shingles: int = 4_000_000) -> DataFrame:
+def forest_links(members: DataFrame, block_nodes: int, task: Callable[[list[dict], np.ndarray, np.ndarray, np.ndarray | None], list[tuple[int, int]]], needed: list[tuple[int, int]], sample: int = 64, most: int = 8) -> DataFrame:
+    """Edges ``u, v`` that connect what ``task`` links inside the groups.
+
+    ``members`` has ``grp, node, sig`` and what else ``task`` reads, a row for
+    each node of a group, and is written already.  ``task`` gets rows, their
+    signatures, sides and known trees, and returns a spanning forest of places.
+    """
+    cuts = members.groupBy("grp").agg(F.ceil(F.count("*") / block_nodes).cast("int").alias("blocks"))
+    large = materialise(cuts.where("blocks > 1"), "large")
+    rest = [c for c in members.columns if c not in ("grp", "node", "sig")]
+
+    def run(batches):
+        def pairs():
+            for _, group in _groups(batches, ["grp", "own", "chunk"]):
+                side = np.array([r["side"] for r in group])
+                if len(group) < 2 or (side.any() and side.all()):
+                    continue
+                sigs = np.frombuffer(b"".join(r["sig"] for r in group), np.uint8).reshape(len(group), -1)
+                trees = np.array([-1 if r["tree"] is None else r["tree"] for r in group]) if side.any() else None
+                ids = [r["node"] for r in group]
+                yield [(ids[a], ids[b]) for a, b in task(group, sigs, side, trees)]
+        return _edges(pairs())
+
+    def work(rows: DataFrame) -> DataFrame:
+        rows = rows.select("grp", "own", "chunk", "side", "tree", "node", "sig", *rest)
+        return rows.repartition("grp", "own", "chunk").sortWithinPartitions("grp", "own", "chunk", "side", "node").mapInArrow(run, "u long, v long")
+
+    none = {"chunk": F.lit(-1), "side": F.lit(0), "tree": F.lit(None).cast("long")}
+    if large.isEmpty():
+        return work(members.withColumns({"own": F.lit(0), **none}))
+    dealt = members.join(large, "grp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64(F.lit(3), "node"), F.col("blocks")).cast("int"))
+    order = Window.partitionBy("grp").orderBy(F.xxhash64(F.lit(5), "node"), "node")
+    drawn = members.join(large, "grp").withColumn("no", F.row_number().over(order)).where(F.col("no") <= sample).drop("no")
+
+    def choose(batches):
+        for _, group in _groups(batches, ["grp"]):
+            sigs = np.frombuffer(b"".join(r["sig"] for r in group), np.uint8).reshape(len(group), -1)
+            yield pa.RecordBatch.from_pylist([group[i] for i in leaders(sigs, needed, most)], schema=batch_schema)
+
+    batch_schema = to_arrow_schema(drawn.schema)
+    lead = drawn.repartition("grp").sortWithinPartitions("grp", "node").mapInArrow(choose, drawn.schema)
+    lead = materialise(lead, "leaders").withColumn("own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    lead = lead.where(F.col("own") != F.pmod(F.xxhash64(F.lit(3), "node"), F.col("blocks")))
+    near = materialise(work(dealt.unionByName(lead).withColumns(none)), "near")
+
+    trees = components(near).withColumnRenamed("component", "tree")
+    grown = dealt.where("blocks > 1").join(trees, "node", "left").withColumn("tree", F.coalesce("tree", "node"))
+    grown = materialise(grown, "grown")
+    main = grown.groupBy("grp", "tree").count().groupBy("grp").agg(F.max_by("tree", F.struct("count", "tree")).alias("main"))
+    outside = grown.join(main, "grp").where("tree <> main")
+    chunks = outside.groupBy("grp").agg(F.ceil(F.count("*") / block_nodes).cast("int").alias("chunks"))
+    outside = outside.join(chunks, "grp").withColumns({"chunk": F.pmod(F.xxhash64(F.lit(7), "node"), F.col("chunks")).cast("int"), "side": F.lit(1)})
+    spread = outside.withColumn("own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    inside = grown.join(chunks, "grp").withColumns({"chunk": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), "side": F.lit(0)})
+    return near.unionByName(work(inside.unionByName(spread, allowMissingColumns=True)))
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = 24, rows: int = 3, miss: float = 1e-6, batch: int = 12, block_nodes: int = 2000) -> DataFrame:
     """Group documents whose shingle sets have a Jaccard similarity of ``percent`` or more.
 
     Returns ``id_col, n_shingles, component_id, kept``, a row for each row of
@@ -235,8 +334,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     with ``miss``; links are confirmed on full sets of 64-bit shingle hashes.
 
     Null, empty and blank texts have an empty set and are linked with nothing.
-    Rows with a null id are linked with nothing, have a null component and are
-    kept.  Rows with the same id are one document: their classes are linked.
+    Texts of any length are read whole; a task holds the texts of two blocks of
+    ``block_nodes``.  Rows with a null id are linked with nothing, have a null
+    component and are kept.  Rows with the same id are one document: their classes are linked.
     Repeated rows give repeated rows.  Other columns are ignored.
     """
     spark = docs.sparkSession
@@ -263,43 +363,20 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     same = real.select("key", "doc", "row", "n", "sig", "bands").join(first.select("key", F.col("node").alias("doc"), "row"), ["key", "doc", "row"], "left_semi")
     nodes = materialise(same.dropDuplicates(["key"]).select(F.col("doc").alias("node"), "row", "n", "sig", "bands"), "nodes")
 
-    members = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("head")).where("size > 1")
-    met = materialise(members.join(shared, "bucket"), "buckets")
-    wide = met.where(F.col("size") > bucket_rows).select(F.col("node").alias("u"), F.col("head").alias("v"))
-    small = met.where(F.col("size") <= bucket_rows).select("bucket", "node").join(nodes.select("node", "sig"), "node")
-
-    def open_buckets(batches):
-        def pairs():
-            for _, group in _groups(batches, ["bucket"]):
-                sigs = np.frombuffer(b"".join(r["sig"] for r in group), np.uint8).reshape(len(group), -1)
-                ids = [r["node"] for r in group]
-                yield [(ids[i], ids[j]) for i, j in bucket_forest(sigs, needed)]
-        return _edges(pairs())
-
-    near = small.select("bucket", "node", "sig").repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(open_buckets, "u long, v long")
-    clusters = components(near.unionByName(wide))
+    members = nodes.select("node", F.explode("bands").alias("grp"))
+    shared = members.groupBy("grp").agg(F.count("*").alias("size")).where("size > 1").select("grp")
+    met = materialise(members.join(shared, "grp").join(nodes.select("node", "sig"), "node").select("grp", "node", "sig"), "buckets")
+    open_bucket = lambda group, sigs, side, trees: sketch_forest(sigs, side, trees, needed)
+    clusters = components(forest_links(met, block_nodes, open_bucket, needed)).withColumnRenamed("component", "grp")
 
-    sized = clusters.join(nodes.select("node", "row", "n", "sig"), "node")
-    cuts = sized.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / block_nodes), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("blocks"))
-    placed = sized.join(cuts, "component").withColumn("own", F.pmod(F.xxhash64(F.lit(3), "node"), F.col("blocks")).cast("int"))
     texts = base.withColumn("row", F.xxhash64(F.coalesce("text", F.lit("")))).withColumnRenamed("doc", "node")
-    placed = texts.join(placed.select("component", "blocks", "own", "node", "row", "sig"), ["node", "row"]).dropDuplicates(["node", "row"])
-    tasks = placed.select("component", "own", "node", "sig", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-    tasks = tasks.select("component", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "node", "sig", "text")
+    placed = clusters.join(nodes.select("node", "row", "sig"), "node")
+    placed = texts.join(placed, ["node", "row"]).dropDuplicates(["node", "row"]).select("grp", "node", "sig", "text")
 
-    def verify(batches):
-        def pairs():
-            for (_, i, j), group in _groups(batches, ["component", "i", "j"]):
-                sigs = np.frombuffer(b"".join(r["sig"] for r in group), np.uint8).reshape(len(group), -1)
-                side = np.array([int(r["own"] != i) for r in group])
-                if len(group) < 2 or (i != j and len(set(side.tolist())) < 2):
-                    continue
-                ids, sets = [r["node"] for r in group], [shingle_set(r["text"], words) for r in group]
-                yield [(ids[a], ids[b]) for a, b in exact_forest(sets, sigs, side, needed, percent)]
-        return _edges(pairs())
+    def verify(group, sigs, side, trees):
+        return exact_forest([shingle_set(r["text"], words) for r in group], sigs, side, trees, needed, percent)
 
-    links = tasks.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "node").mapInArrow(verify, "u long, v long")
+    links = forest_links(materialise(placed, "clusters"), block_nodes, verify, needed)
     parts = components(links)
     named = first.join(parts, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
     out = seen.select("doc", "n", "key").join(named, "key", "left")

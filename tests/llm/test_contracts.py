@@ -170,7 +170,7 @@ def test_blocks_and_signatures_lose_no_link():
     sketch = near_dedup.Sketch(24, 3)
     sigs = np.stack([np.frombuffer(sketch.of(s)[0], np.uint8) for s in sets])
     needed = near_dedup.needed_matches(72, 12, 0.8, 1e-6)
-    links = near_dedup.exact_forest(sets, sigs, np.zeros(len(sets), int), needed, 80)
+    links = near_dedup.exact_forest(sets, sigs, np.zeros(len(sets), int), None, needed, 80)
     got = near_dedup.Forest(len(sets))
     for a, b in links:
         got.join(a, np.array([b]))

@@ -57,11 +57,12 @@ def test_near_dedup(docs, nothing):
     assert len(got) == len(ROWS) and near_dedup.near_dedup(nothing).isEmpty()
 
 
-def test_large_buckets_and_blocks_agree_with_small_ones(spark):
+def test_blocks_of_any_size_agree(spark):
     rows = [(i, " ".join(f"w{(j + (j % 40 == i % 40) * i)}" for j in range(120))) for i in range(120)]
+    rows += [(1000 + i, " ".join(f"v{j if (j * 7 + i) % 31 else i}" for j in range(300))) for i in range(300)]
     d = spark.createDataFrame(rows, "doc_id long, text string")
     want = sorted(map(str, near_dedup.near_dedup(d).collect()))
-    assert sorted(map(str, near_dedup.near_dedup(d, bucket_rows=5, block_nodes=20).collect())) == want
+    assert sorted(map(str, near_dedup.near_dedup(d, block_nodes=20).collect())) == want
 
 
 def test_chat(spark):
