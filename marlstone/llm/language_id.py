@@ -139,7 +139,7 @@ def train(rows: list[tuple[str, str]], rounds: int = 30, rate: float = 0.25, seg
         if not words:
             continue
         words = (words * (2 * segment // len(words) + 1)) if len(words) < 2 * segment else words
-        for at in range(0, len(words) - 2 * segment + 1, 2 * segment):
+        for at in [*range(0, len(words) - 2 * segment, 2 * segment), len(words) - 2 * segment]:
             parts.append(words[at : at + 2 * segment])
             langs.append(labels.index(lang))
     if not parts:
@@ -190,16 +190,19 @@ def train(rows: list[tuple[str, str]], rounds: int = 30, rate: float = 0.25, seg
     return Crf(labels, lexicon, weights.astype(np.float32), trans)
 
 
-def fit_language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = 300, train_chars: int = 3000, folds: int = 4, held_out: int = 2) -> Crf:
-    """Train on a bounded sample: ``train_rows`` documents of each language.
+def fit_language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = 200, max_languages: int = 1000, folds: int = 4, held_out: int = 2) -> Crf:
+    """Train on a bounded sample: ``train_rows`` whole documents of each language.
 
     Only documents whose ``crc32(id as text) mod folds`` isn't ``held_out`` and
-    that have text and a language; of each, ``train_chars`` code points.
+    that have text and a language.  A column of more than ``max_languages``
+    values isn't one of languages: that raises a ``ValueError``.
     """
+    if docs.select(lang_col).distinct().limit(max_languages + 2).count() > max_languages + 1:
+        raise ValueError(f"{lang_col} has more than {max_languages} values")
     rows = docs.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.crc32(F.coalesce("i", F.lit("")).cast("binary")) % folds != held_out))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("i"), "i", "text")
-    rows = rows.select("lang", "i", F.substring("text", 1, train_chars).alias("text")).withColumn("no", F.row_number().over(order)).where(F.col("no") <= train_rows)
+    rows = rows.withColumn("no", F.row_number().over(order)).where(F.col("no") <= train_rows)
     return train([(r["text"], r["lang"]) for r in rows.select("text", "lang", "i").orderBy("lang", F.xxhash64("i"), "i", "text").collect()])
 
 
@@ -240,8 +243,8 @@ def language_id(docs: DataFrame, model: Crf, text_col: str = "text", keep_text:
     """Add ``lang_pred`` and ``score`` (the expected share of its words).
 
     Only the text is read.  Null text and text without a letter get ``und`` and
-    0.  Input columns named like the new ones are replaced; repeated rows are
-    treated alike; an empty table gives an empty one.  A model without labelled
+    0.  Texts of any length are one chain each, read whole.  Input columns named
+    like the new ones are replaced; repeated rows are treated alike; an empty table gives an empty one.  A model without labelled
     rows says ``und`` of everything.
     """
     rest = [c for c in docs.columns if c not in ("lang_pred", "score") and (keep_text or c != text_col)]
