@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from functools import lru_cache
 from html.parser import HTMLParser
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,26 +38,34 @@ _SCOPE = {"td", "th", "table", "body", "article", "section", "div", "main", "asi
 
 
 class _Blocks(HTMLParser):
-    """Collects (path, text, characters inside links) of the leaf blocks."""
+    """Collects (path, text, characters inside links) of the leaf blocks.
+
+    A path lists the names of the open elements with the number of times each
+    is open, so that deep nesting of the same elements costs nothing.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, tuple[str, ...]]] = []
-        self.blocks: list[tuple[tuple[str, ...], str, int]] = []
+        self.open: dict[str, int] = {}
+        self.blocks: list[tuple[tuple[tuple[str, int], ...], str, int]] = []
         self.text: list[str] = []
         self.silent = self.links = self.linked = 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            path = tuple(t for tag, names in self.stack if tag not in _INLINE for t in names)
-            self.blocks.append((path, text, self.linked))
+            self.blocks.append((tuple(self.open.items()), text, self.linked))
         self.text, self.linked = [], 0
 
     def _pop(self, k: int) -> None:
-        for tag, _ in self.stack[k:]:
+        for tag, names in self.stack[k:]:
             self.silent -= tag in _SILENT
             self.links -= tag == "a"
+            for name in names if tag not in _INLINE else ():
+                self.open[name] -= 1
+                if not self.open[name]:
+                    del self.open[name]
         del self.stack[k:]
 
     def _close(self, tags: set[str], scope: set[str]) -> None:
@@ -87,6 +97,8 @@ class _Blocks(HTMLParser):
         self.silent += tag in _SILENT
         self.links += tag == "a"
         self.stack.append((tag, tuple(names)))
+        for name in names if tag not in _INLINE else ():
+            self.open[name] = self.open.get(name, 0) + 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -110,7 +122,7 @@ class _Blocks(HTMLParser):
                 self.linked += len(data.strip())
 
 
-def leaf_blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
+def leaf_blocks(html: str) -> list[tuple[tuple[tuple[str, int], ...], str, int]]:
     """Leaf blocks of a page in order; scripts, styles and markup are gone."""
     parser = _Blocks()
     parser.feed(html)
@@ -122,19 +134,18 @@ def leaf_blocks(html: str) -> list[tuple[tuple[str, ...], str, int]]:
 _TAGS, _WORDS, _DIM_T, _DIM_W, _PLAIN, _HIDDEN = 1024, 1024, 16, 8, 4, 12
 
 
-@lru_cache(100_000)
-def _path_ids(path: tuple[str, ...]) -> tuple[int, ...]:
-    return tuple(zlib.crc32(t.encode("utf-8", "replace")) % _TAGS for t in path)
+@lru_cache(20_000)
+def _path_ids(path: tuple[tuple[str, int], ...]) -> tuple[tuple[int, ...], tuple[int, ...]]:
+    return tuple(zlib.crc32(t.encode("utf-8", "replace")) % _TAGS for t, _ in path), tuple(n for _, n in path)
 
 
-def features(blocks: list[tuple[tuple[str, ...], str, int]]) -> list[tuple[tuple[int, ...], list[int], list[float]]]:
-    """Hashed tag path, hashed words (of at most 32 places spread over the block) and plain numbers."""
+def features(blocks: list[tuple[tuple[tuple[str, int], ...], str, int]]) -> list[tuple[tuple[tuple[int, ...], tuple[int, ...]], list[int], list[float]]]:
+    """Hashed names of the path with their counts, hashed words of the whole block and plain numbers."""
     out = []
     for path, text, linked in blocks:
-        words = text.split()
-        some = words if len(words) <= 32 else [words[i * len(words) // 32] for i in range(32)]
+        words = text.lower().encode("utf-8", "replace").split()
         out.append((
-            _path_ids(path), [zlib.crc32(w.lower().encode("utf-8", "replace")) % _WORDS for w in some],
+            _path_ids(path), [h % _WORDS for h in map(zlib.crc32, words)],
             [min(1.0, np.log1p(len(words)) / 6), linked / max(1, len(text)), float(text[-1] in ".!?:;\"'"), 1.0],
         ))
     return out
@@ -162,14 +173,17 @@ class BlockLabeller:
         flat = [f for d in docs for f in d]
         row, col = np.repeat(np.arange(len(docs)), n), np.concatenate([np.arange(k) for k in n]) if len(n) else np.zeros(0, int)
         parts = []
-        for k, name, size in ((0, "tags", _DIM_T), (1, "words", _DIM_W)):
-            count = np.array([len(f[k]) for f in flat])
-            ids = np.array([i for f in flat for i in f[k]], dtype=np.int64)
-            owner = np.repeat(np.arange(len(flat)), count)
-            scale = 1 / np.sqrt(np.maximum(1, count)) if k == 0 else 1 / np.maximum(1, count)
-            v = np.stack([np.bincount(owner, self.p[name][ids, j], len(flat)) for j in range(size)], 1) * scale[:, None]
-            x[row, col, (0 if k == 0 else _DIM_T) : (size if k == 0 else _DIM_T + _DIM_W)] = v
-            parts.append((ids, owner, scale))
+        tags = [f[0] for f in flat]
+        given = (("tags", _DIM_T, [t[0] for t in tags], [n for t in tags for n in t[1]]), ("words", _DIM_W, [f[1] for f in flat], None))
+        for name, size, lists, times in given:
+            ids = np.fromiter(chain.from_iterable(lists), np.int64)
+            owner = np.repeat(np.arange(len(flat)), np.fromiter(map(len, lists), np.int64, len(flat)))
+            times = np.ones(len(ids)) if times is None else np.array(times, dtype=float)
+            total = np.maximum(1, np.bincount(owner, times, len(flat)))
+            weight = times / (np.sqrt(total) if name == "tags" else total)[owner]
+            v = np.stack([np.bincount(owner, self.p[name][ids, j] * weight, len(flat)) for j in range(size)], 1)
+            x[row, col, (0 if name == "tags" else _DIM_T) : (size if name == "tags" else _DIM_T + _DIM_W)] = v
+            parts.append((ids, owner, weight))
         x[row, col, _DIM_T + _DIM_W :] = np.array([f[2] for f in flat]).reshape(-1, _PLAIN)
         return x, [row, col, *parts], n
 
@@ -238,8 +252,8 @@ class BlockLabeller:
                         grad[f"c{way}"] = grad[f"c{way}"] + dz.sum(0)
                 flat = dx[row, col]
                 for k, name, lo, dim in ((2, "tags", 0, _DIM_T), (3, "words", _DIM_T, _DIM_W)):
-                    ids, owner, scale = made[k]
-                    full = flat[owner, lo : lo + dim] * scale[owner, None]
+                    ids, owner, weight = made[k]
+                    full = flat[owner, lo : lo + dim] * weight[:, None]
                     grad[name] = np.stack([np.bincount(ids, full[:, j], len(self.p[name])) for j in range(dim)], 1)
                 step += 1
                 for k, v in self.p.items():
@@ -323,7 +337,7 @@ def training_pages(n: int = 500, seed: int = 11) -> tuple[list, list[np.ndarray]
         for kind, chance in (("share", 0.2), ("aside", 0.4), ("comments", 0.4), ("form", 0.2), ("ad", 0.3), ("nav", 0.2), ("notice", 0.15), ("footer", 0.8)):
             if rng.random() < chance:
                 part(kind, top)
-        pages.append(features([b[:3] for b in blocks]))
+        pages.append(features([(tuple(Counter(b[0]).items()), *b[1:3]) for b in blocks]))
         labels.append(np.array([b[3] for b in blocks], dtype=float))
     return pages, labels
 
