@@ -28,12 +28,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` if it is set.
 
-    Only where it is unset, as in tests on one machine, a temporary folder is
-    made and remembered in the session.
+    Only where it is unset and the master is local, as in tests on one machine,
+    a temporary folder is made and remembered in the session.  On a cluster an
+    unset folder raises: no other is known to be shared.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.conf.get("marlstone.scratch.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="marlstone-")
         spark.conf.set("marlstone.scratch.dir", found)

@@ -41,7 +41,7 @@ def benchmark_windows(bench: DataFrame, item_col: str, text_col: str, window: in
     w = w.select("item", F.explode(F.transform(starts, lambda s: F.slice("words", s + 1, window))).alias("words"))
     w = w.groupBy("words").agg(F.collect_set("item").alias("items"))
     return w.select(
-        F.xxhash64("words").alias("win"), "words", F.size("words").alias("len"), F.least(F.lit(shingle), F.size("words")).alias("k"), "items",
+        F.md5(F.concat_ws(" ", "words").cast("binary")).alias("win"), "words", F.size("words").alias("len"), F.least(F.lit(shingle), F.size("words")).alias("k"), "items",
     )
 
 
