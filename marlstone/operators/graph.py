@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from marlstone.operators.shared import shared_dir
+
 #: Damping, rounds and laziness of the walk; decay of a hop; sweeps.
 DAMPING, ROUNDS, LAZINESS, HOP_DECAY, SWEEPS = 0.85, 3, 0.5, 0.5, 20
 STATED = 10
@@ -106,13 +108,7 @@ def routes(edges: DataFrame, pairs: DataFrame, hops: int = 2, limit: int = 10) -
 def save(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage by a table in the folder of ``spark.checkpoint.dir``."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = spark.conf.get("marlstone.graph.dir", None) or "file://" + tempfile.mkdtemp(prefix="marlstone-")
-        spark.conf.set("marlstone.graph.dir", base)
-    path = f"{base.rstrip('/')}/graph/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/graph/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -32,12 +34,16 @@ def score(terms: DataFrame, posts: DataFrame, stats: DataFrame, df: DataFrame |
     """``query_id, id, score`` of every document that shares a term.
 
     Contributions are added in query order, so a score doesn't depend on how
-    rows were shuffled.  The query side is broadcast only after its size has
+    rows were shuffled.  Postings may carry their term's ``df``.  The query side is broadcast only after its size has
     been checked; one row of corpus statistics always is.
     """
     side = F.broadcast(terms) if checked and small_enough(terms) else terms
-    weights = I.doc_frequency(posts.join(F.broadcast(terms.select("term").distinct()) if side is not terms else terms.select("term").distinct(), "term", "left_semi")) if df is None else df
-    hits = posts.join(side, "term").join(weights, "term").crossJoin(F.broadcast(stats))
+    hits = posts.join(side, "term")
+    if "df" not in posts.columns:
+        asked = terms.select("term").distinct()
+        weights = I.doc_frequency(posts.join(asked if side is terms else F.broadcast(asked), "term", "left_semi")) if df is None else df
+        hits = hits.join(weights, "term")
+    hits = hits.crossJoin(F.broadcast(stats))
     part = I.contribution(I.idf(F.col("n"), F.col("df")), F.col("tf_h"), F.col("tf_b"), F.col("wlen"), F.col("avg_wlen"))
     grouped = hits.groupBy("query_id", "id").agg(F.array_sort(F.collect_list(F.struct("qpos", part.alias("c")))).alias("cs"))
     return grouped.select("query_id", "id", F.aggregate("cs", F.lit(0.0), lambda a, x: a + x.getField("c")).alias("score"))
@@ -88,11 +94,20 @@ def cosine(a: Column, b: Column) -> Column:
 def dense_top(codes: DataFrame, queries: DataFrame, width: int = 100) -> DataFrame:
     """Nearest codes of each query by Hamming distance, ties by id.
 
-    Queries (``query_id, qcode``) are a stated set held against all rows: they
-    are few and broadcast after a check of their number.
+    Queries (``query_id, qcode``) are a stated set held against all rows, in
+    blocks of a number that can be broadcast.
     """
-    if not small_enough(queries, 100_000):
-        raise ValueError("too many dense queries for one pass; run them in blocks")
+    blocks = _query_blocks(queries, 100_000)
+    return reduce(DataFrame.unionByName, [_dense_block(codes, b, width) for b in blocks])
+
+
+def _query_blocks(queries: DataFrame, rows: int) -> list[DataFrame]:
+    """Queries in blocks of about ``rows`` by the hash of their id; together they are all of them."""
+    n = -(-queries.count() // rows)
+    return [queries] if n <= 1 else [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) for i in range(n)]
+
+
+def _dense_block(codes: DataFrame, queries: DataFrame, width: int) -> DataFrame:
     near = codes.where(F.col("code").isNotNull()).crossJoin(F.broadcast(queries)).withColumn("distance", hamming(F.col("code"), F.col("qcode")))
     order = Window.partitionBy("query_id").orderBy("distance", "id")
     return near.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= width).select("query_id", "id", "distance", "rank")
@@ -102,10 +117,14 @@ def cosine_top(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame
     """The k best of all rows ``id, v`` by cosine for each of ``query_id, q``, ties by id.
 
     No row is left out: each batch of rows meets all queries in blocks, and its k
-    best of a query go on.  Queries are few and broadcast after a check of their number.
+    best of a query go on.  Queries are a stated set, held against all rows in
+    blocks of a number that can be broadcast.
     """
-    if not small_enough(queries, 100_000):
-        raise ValueError("too many dense queries for one pass; run them in blocks")
+    blocks = _query_blocks(queries, 100_000)
+    return reduce(DataFrame.unionByName, [_cosine_block(vectors, b, k) for b in blocks])
+
+
+def _cosine_block(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     spark = vectors.sparkSession
     asked = queries.collect()
     names = np.array([r["query_id"] for r in asked])

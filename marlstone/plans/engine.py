@@ -1,17 +1,23 @@
 """The engine: index tables in a folder, and the verbs that read and keep them.
 
 An index is a folder of Parquet tables: ``records`` (a row for each document),
-``postings`` sorted by term, so that a query's terms reach the scan as a filter
-on row groups, ``edges``, ``codes`` and one row of ``stats``.  A build writes a
-new version beside the last and then names it in ``CURRENT``; a reader never
-sees half a build.
+``postings`` sorted by term with the term's document frequency, ``edges`` and
+one row of ``stats``.  The terms of a question are few and become an ``IN``
+filter, which reaches the scan and skips row groups.  A build writes a new
+version beside the last and then names it in ``CURRENT`` by an atomic rename; a
+reader never sees half a build.  One writer works at a time, and the two
+versions before the last stay for readers that are still at work.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +30,10 @@ from marlstone.operators import maintain as M
 from marlstone.operators import passages as P
 from marlstone.operators import ranking as R
 
-SCHEMA_VERSION, ANALYSER_VERSION = 1, 1
+SCHEMA_VERSION, ANALYSER_VERSION = 2, 1
+
+#: Distinct terms of a batch up to which they are a filter of the scan; more are joined.
+FILTER_TERMS = 10_000
 
 
 @dataclass(frozen=True)
@@ -82,8 +91,11 @@ class Engine:
         fs, p = self._fs(f"{self.root}/CURRENT")
         if not fs.exists(p):
             return None
-        names = [r["value"] for r in self.spark.read.text(f"{self.root}/CURRENT").collect()]
-        schema, name = names[0].split(" ")
+        stream = fs.open(p)
+        try:
+            schema, name = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split()
+        finally:
+            stream.close()
         if schema != f"{SCHEMA_VERSION}.{ANALYSER_VERSION}":
             raise ValueError(f"the index has schema {schema}; build it again")
         return name
@@ -94,18 +106,55 @@ class Engine:
             raise FileNotFoundError("there is no index yet")
         return self.spark.read.parquet(f"{self.root}/{version}/{name}")
 
+    def _point(self, name: str) -> None:
+        """Name the version in ``CURRENT``: a new file takes its place in one step."""
+        jvm, new = self.spark._jvm, f"{self.root}/CURRENT.{name}"
+        fs, p = self._fs(new)
+        stream = fs.create(p)
+        stream.write(bytearray(f"{SCHEMA_VERSION}.{ANALYSER_VERSION} {name}\n".encode()))
+        stream.close()
+        rename = jvm.org.apache.hadoop.fs.Options.Rename
+        how = self.spark.sparkContext._gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), self.spark._jsc.hadoopConfiguration())
+        files.rename(p, jvm.org.apache.hadoop.fs.Path(f"{self.root}/CURRENT"), how)
+
+    @contextmanager
+    def _writing(self) -> Iterator[None]:
+        """Hold the writer's lock; a second writer is refused."""
+        fs, p = self._fs(f"{self.root}/LOCK")
+        try:
+            fs.create(p, False).close()
+        except Py4JJavaError as e:
+            if fs.exists(p):
+                raise RuntimeError(f"another writer holds {p.toString()}; delete it if that one is gone") from e
+            raise
+        try:
+            yield
+        finally:
+            fs.delete(p, False)
+
     def _publish(self, records: DataFrame) -> None:
-        version = f"v-{uuid.uuid4().hex[:12]}"
+        with self._writing():
+            self._write(records)
+
+    def _write(self, records: DataFrame) -> None:
+        version = f"v-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
         at = f"{self.root}/{version}"
         records.repartition("shard").sortWithinPartitions("id").write.parquet(f"{at}/records")
         records = self.spark.read.parquet(f"{at}/records")
         if not I.duplicate_ids(records).isEmpty():
             raise ValueError("an id occurs twice")
         posts = I.postings(records.select("id", "heading_tokens", "body_tokens", "wlen"))
+        posts = posts.join(I.doc_frequency(posts), "term")
         posts.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.parquet(f"{at}/postings")
         I.corpus_stats(records).coalesce(1).write.parquet(f"{at}/stats")
         resolve(records).write.parquet(f"{at}/edges")
-        self.spark.createDataFrame([(f"{SCHEMA_VERSION}.{ANALYSER_VERSION} {version}",)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/CURRENT")
+        self._point(version)
+        fs, root = self._fs(self.root)
+        built = sorted(s.getPath().getName() for s in fs.listStatus(root) if s.getPath().getName().startswith("v-"))
+        for name in built[:-3]:
+            fs.delete(self._fs(f"{self.root}/{name}")[1], True)
 
     def ingest(self, documents: DataFrame) -> dict[str, int]:
         """Index ``id, loc, raw``; unchanged documents keep their records.
@@ -152,7 +201,11 @@ class Engine:
 
     def scores(self, queries: DataFrame) -> DataFrame:
         """``query_id, id, score, archived`` for ``query_id, query``."""
-        scored = R.score(R.explode_queries(queries), self.table("postings"), self.table("stats"))
+        terms, posts = R.explode_queries(queries), self.table("postings")
+        asked = [r["term"] for r in terms.select("term").distinct().limit(FILTER_TERMS + 1).collect()]
+        if len(asked) <= FILTER_TERMS:
+            posts = posts.where(F.col("term").isin(asked))
+        scored = R.score(terms, posts, self.table("stats"))
         flags = self.table("records").select("id", "archived")
         return R.demote(scored.join(flags, "id"), F.col("archived"), self.config.archived_weight)
 

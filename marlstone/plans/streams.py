@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.plans import corpus as C
+from marlstone.operators.shared import shared_dir
 from marlstone.streaming import incremental as S
 
 
 def _folder(spark: SparkSession) -> str:
     """A new folder in the one that executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    base = base.rstrip("/") if base else "file://" + tempfile.mkdtemp(prefix="marlstone-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def stream_incremental_index(spark: SparkSession, sf_dir: str) -> DataFrame:

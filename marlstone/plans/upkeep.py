@@ -213,7 +213,7 @@ QUERIES = {f.__name__: f for f in (
 
 _PATHS = "p AS (SELECT lang || '/work/' || source || '/' || doc_id || '.' || (['md', 'txt', 'svg', 'rst', 'json'])[doc_id % 5 + 1] AS path, source, lang, doc_id FROM documents)"
 _GOLD = f"""WITH {sql_scored(SQL_BENCH)}, top AS ({sql_top('scored', 50)}), g AS (
-  SELECT q.query_id, (SELECT min(rank) FROM top JOIN rec ON top.id = rec.id WHERE top.query_id = q.query_id AND contains(rec.body, substr(q.query, 1, 60))) AS rank FROM q)"""
+  SELECT q.query_id, (SELECT min(rank) FROM top JOIN rec ON top.id = rec.id WHERE top.query_id = q.query_id AND contains(rec.body, q.query)) AS rank FROM q)"""
 _IMPACT = f"""WITH {SQL_RECORDS}, w AS (SELECT id, toks[1:3] AS h, toks[4:] AS b FROM rec
 ), wl AS (SELECT id, 3 * len(h) + len(b) AS wlen FROM w), st AS (SELECT count(*) AS n, CAST(sum(wlen) AS DOUBLE) / count(*) AS avg_wlen FROM wl
 ), t AS (SELECT id, unnest(h) AS term, 1 AS x FROM w UNION ALL SELECT id, unnest(b), 0 FROM w

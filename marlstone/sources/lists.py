@@ -21,18 +21,24 @@ class ListError(ValueError):
 
 @dataclass(frozen=True)
 class ListKind:
-    """What a list may hold: attributes with their values, the first the default."""
+    """What a list may hold: attributes with their values, the first the default.
+
+    ``checks`` are patterns that a value must not match, and what is wrong then.
+    """
 
     name: str
     attributes: dict[str, tuple[str, ...]] = field(default_factory=dict)
     exclusions: bool = True
+    checks: tuple[tuple[str, str], ...] = ()
+
 
+_INSIDE = ((r"/", "isn't relative to the root"), (r"(?:.*/)?\.\.(?:/|$)", "leaves the root"))
 
 #: The kinds of lists.
 KINDS = {
-    "dirs": ListKind("dirs", {"archived": ("false", "true")}),
-    "urls": ListKind("urls", {"meta": ("plain", "hashed"), "fetcher": ("http", "browser")}, exclusions=False),
-    "types": ListKind("types"),
+    "dirs": ListKind("dirs", {"archived": ("false", "true")}, checks=_INSIDE),
+    "urls": ListKind("urls", {"fetch": ("http", "cdp"), "meta": ("hashed", "plain")}, exclusions=False, checks=((r"(?!https?://)", "is no http(s) address"),)),
+    "types": ListKind("types", checks=(*_INSIDE, (r".*/$", "names a folder, and types match files"))),
 }
 
 
@@ -58,6 +64,9 @@ def _entry(text: str, kind: ListKind, line: int, origin: str) -> Entry | None:
             raise fail(f"nothing can be subtracted from {kind.name}")
         if not value or value.startswith("!") or given:
             raise fail("an exclusion is one pattern without attributes")
+    for pattern, wrong in kind.checks:
+        if re.match(pattern, value):
+            raise fail(f"{value!r} {wrong}")
     attrs = {k: v[0] for k, v in kind.attributes.items()}
     seen: set[str] = set()
     for word in given:

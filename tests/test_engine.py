@@ -89,3 +89,44 @@ def test_many_questions(engine, spark):
     q = spark.createDataFrame([(1, "topic1"), (2, "topic2 shared")], "query_id long, query string")
     got = engine.ask_batch(q, 2).groupBy("query_id").agg(F.count("*").alias("n")).orderBy("query_id").collect()
     assert [(r["query_id"], r["n"]) for r in got] == [(1, 1), (2, 2)]
+
+
+def test_terms_reach_the_scan_as_a_filter(engine, spark):
+    plan = engine.ask("topic3 shared", 3)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(term, [" in plan.replace("IsNotNull(term), ", "") or "In(term" in plan
+
+
+def test_publishing_is_one_step_and_one_writer_works_at_a_time(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/d")
+    for i in range(4):
+        e.ingest(frame(spark, {"a.md": f"text {i}"}))
+    names = sorted(p.name for p in (tmp_path / "d").iterdir() if not p.name.startswith("."))
+    assert names[0] == "CURRENT" and len(names) == 4 and (tmp_path / "d/CURRENT").is_file()
+    (tmp_path / "d/LOCK").touch()
+    with pytest.raises(RuntimeError):
+        e.ingest(frame(spark, {"a.md": "other"}))
+    (tmp_path / "d/LOCK").unlink()
+    assert e.ingest(frame(spark, {"a.md": "other"}))["changed"] == 1
+
+
+def test_source_lists_check_their_values():
+    from marlstone.sources import lists
+
+    assert lists.read("https://x/a", "urls")[0].attrs == {"fetch": "http", "meta": "hashed"}
+    for kind, bad in (("urls", "ftp://x"), ("dirs", "/abs"), ("dirs", "a/../b"), ("types", "docs/"), ("types", "../x"), ("urls", "http://x meta=open")):
+        with pytest.raises(lists.ListError):
+            lists.read(bad, kind)
+
+
+def test_ghosts_move_the_target_by_their_size():
+    from marlstone.operators.evaluate import ArcCache
+
+    cache = ArcCache(100)
+    for key, size in (("a", 60), ("b", 60)):
+        assert not cache.access(key, size)
+    assert cache.ghost["recent"] == {"a": 60} and not cache.access("a", 30)
+    assert cache.target == 60 and "a" in cache.live["often"] and cache.access("b", 60)
+    small = ArcCache(10)
+    for key in "xyz":
+        small.access(key, 10)
+    assert list(small.ghost["recent"]) == ["y"]
