@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marlstone.operators.shared import shared_dir
+from marlstone.operators.shared import save
 
 #: Damping, rounds and laziness of the walk; decay of a hop; sweeps.
 DAMPING, ROUNDS, LAZINESS, HOP_DECAY, SWEEPS = 0.85, 3, 0.5, 0.5, 20
@@ -105,14 +103,6 @@ def routes(edges: DataFrame, pairs: DataFrame, hops: int = 2, limit: int = 10) -
     return ranked.select("a", "b", "no", "hops", F.col("rel").alias("reliability"), "steps")
 
 
-def save(df: DataFrame, label: str) -> DataFrame:
-    """Cut lineage by a table in the folder of ``spark.checkpoint.dir``."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/graph/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def connected(edges: DataFrame) -> DataFrame:
     """``node, component``: the smallest node of the part, found by contraction."""
     flat = lambda df: df.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
@@ -173,3 +163,7 @@ def communities(edges: DataFrame) -> DataFrame:
     return labelled.join(named.select("label", "community", "size"), "label").select("node", "community", "size")
 
 
+def with_community(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``doc`` with its ``community`` and how many other nodes are in it; both null outside the graph."""
+    named = found.select(F.col("node").alias("doc"), "community", (F.col("size") - 1).cast("long").alias("siblings"))
+    return docs.join(named, "doc", "left")

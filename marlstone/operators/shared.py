@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -19,3 +20,21 @@ def shared_dir(spark: SparkSession) -> str:
         found = "file://" + tempfile.mkdtemp(prefix="marlstone-")
         spark.conf.set("marlstone.shared.dir", found)
     return found.rstrip("/")
+
+
+def save(df: DataFrame, label: str) -> DataFrame:
+    """Cut lineage by a table in the shared folder."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/graph/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table of fewer splits than cores, dealt over all cores.
+
+    A file of one row group is one split whatever its size; tables of many
+    files stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from marlstone.plans import graphs, pages, retrieval, streams, upkeep
+from marlstone.plans import classics, graphs, pages, retrieval, streams, upkeep
 
-QUERIES = {**retrieval.QUERIES, **graphs.QUERIES, **pages.QUERIES, **upkeep.QUERIES, **streams.QUERIES}
-ORACLES = {**retrieval.ORACLES, **graphs.ORACLES, **pages.ORACLES, **upkeep.ORACLES, **streams.ORACLES}
+_PARTS = (retrieval, graphs, pages, upkeep, streams, classics)
+QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}

@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from marlstone.functions import text as T
 from marlstone.operators import index as I
 from marlstone.operators import ranking as R
+from marlstone.operators.shared import spread
 
 #: Sources that count as archived.
 ARCHIVED = ["src0"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(found) if name in ("documents", "pages") else found
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -249,7 +249,8 @@ class Engine:
 
     def explain(self, doc: str) -> DataFrame:
         name = doc if doc.startswith(("file:", "url:")) else f"file:{doc}"
-        return G.explain(self.table("edges"), self.table("records"), name)
+        out = G.explain(self.table("edges"), self.table("records"), name)
+        return G.with_community(out, self.communities())
 
     def graph(self, text: str, seeds: int = 5, more: int = 10) -> DataFrame:
         """The best documents of a question and what the links add to them."""
@@ -263,7 +264,11 @@ class Engine:
         return G.routes(self.table("edges"), self.spark.createDataFrame([(name(a), name(b))], "a string, b string"), hops).orderBy("no")
 
     def communities(self) -> DataFrame:
-        return G.communities(self.table("edges"))
+        """Found once for each version and kept beside its edges."""
+        fs, p = self._fs(f"{self.root}/{self.version()}/communities/_SUCCESS")
+        if not fs.exists(p):
+            G.communities(self.table("edges")).write.mode("overwrite").parquet(p.getParent().toString())
+        return self.table("communities")
 
     def doctor(self) -> dict[str, object]:
         """Health of the index: counts, and constraints that should be 0."""
