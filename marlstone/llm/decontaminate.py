@@ -35,13 +35,12 @@ def _shingles(words: Column, k: int) -> Column:
 
 
 def benchmark_windows(bench: DataFrame, item_col: str, text_col: str, window: int, shingle: int) -> DataFrame:
-    """Distinct windows: ``win, words, len, k, items`` (the items that hold it)."""
+    """Windows of all items: ``win, words, len, k, item``, a row for each item that holds one."""
     w = bench.select(F.col(item_col).alias("item"), words_of(F.col(text_col)).alias("words")).where((F.size("words") > 0) & F.col("item").isNotNull())
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - window))
     w = w.select("item", F.explode(F.transform(starts, lambda s: F.slice("words", s + 1, window))).alias("words"))
-    w = w.groupBy("words").agg(F.collect_set("item").alias("items"))
-    return w.select(
-        F.md5(F.concat_ws(" ", "words").cast("binary")).alias("win"), "words", F.size("words").alias("len"), F.least(F.lit(shingle), F.size("words")).alias("k"), "items",
+    return w.distinct().select(
+        F.md5(F.concat_ws(" ", "words").cast("binary")).alias("win"), "words", F.size("words").alias("len"), F.least(F.lit(shingle), F.size("words")).alias("k"), F.col("item").cast("string").alias("item"),
     )
 
 
@@ -59,7 +58,8 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     hits nothing; an empty table gives an empty one.
     """
     docs = docs.drop("n_words", "n_hit", "items", "contaminated")
-    wins = materialise(benchmark_windows(bench, item_col, item_text_col, window, shingle), "windows")
+    held = materialise(benchmark_windows(bench, item_col, item_text_col, window, shingle), "windows")
+    wins = materialise(held.dropDuplicates(["win"]).drop("item"), "distinct-windows")
     placed = None
     for k in range(1, shingle + 1):
         part = wins.where(F.col("k") == k).select("win", "len", F.posexplode(_shingles(F.col("words"), k)).alias("at", "h"))
@@ -86,25 +86,30 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     ranked = placed.join(rarity, "h", "left").groupBy("win", "len").agg(
         F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "h", "at")).alias("rare"))
     prefix = ranked.where(F.col("rare.df") > 0).select("win", "len", F.col("rare.h").alias("h"), F.col("rare.at").alias("at"))
-    prefix = materialise(prefix.join(wins.select("win", F.col("words").alias("need"), "items"), "win"), "prefix")
+    prefix = materialise(prefix.join(wins.select("win", F.col("words").alias("need")), "win"), "prefix")
     starts = (
         found.join(small(prefix), "h")
         .withColumn("start", F.col("pos") - F.col("at"))
         .where((F.col("start") >= 0) & (F.col("start") + F.col("len") <= F.col("n")))
-        .groupBy("doc", "row").agg(F.collect_set(F.struct("start", "len", "need", "items")).alias("cand"))
-        .withColumnsRenamed({"doc": "__d_doc", "row": "__d_row", "cand": "__d_cand"})
+        .groupBy("doc", "row").agg(F.collect_set(F.struct("start", "len", "need", "win")).alias("cand"))
     )
-    out = docs.join(starts.hint("shuffle_hash"), (docs[id_col] == F.col("__d_doc")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("__d_row")), "left")
-    out = out.withColumn("__d_words", words_of(F.col(text_col)))
-    true = F.filter("__d_cand", lambda c: F.slice("__d_words", c.getField("start") + 1, c.getField("len")) == c.getField("need"))
-    out = out.withColumn("__d_true", F.coalesce(true, F.array().cast(starts.schema["__d_cand"].dataType)))
-    covered = F.flatten(F.transform("__d_true", lambda c: F.sequence(c.getField("start"), c.getField("start") + c.getField("len") - 1)))
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), row.alias("row"), F.col(text_col).alias("text"))
+    checked = texts.join(starts, ["doc", "row"]).dropDuplicates(["doc", "row"]).select("doc", "row", "cand", words_of(F.col("text")).alias("words"))
+    true = F.filter("cand", lambda c: F.slice("words", c.getField("start") + 1, c.getField("len")) == c.getField("need"))
+    checked = checked.select("doc", "row", true.alias("true")).where(F.size("true") > 0)
+    covered = F.flatten(F.transform("true", lambda c: F.sequence(c.getField("start"), c.getField("start") + c.getField("len") - 1)))
+    checked = materialise(checked.select("doc", "row", F.size(F.array_distinct(covered)).cast("long").alias("n_hit"), F.array_distinct(F.transform("true", lambda c: c.getField("win"))).alias("wins")), "hits")
+    named = checked.select("doc", "row", F.explode("wins").alias("win")).join(held.select("win", "item"), "win")
+    named = named.groupBy("doc", "row").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    hits = checked.select("doc", "row", "n_hit").join(named, ["doc", "row"]).select(*[F.col(c).alias(f"__d_{c}") for c in ("doc", "row", "n_hit", "items")])
+    out = docs.withColumns({"__d_words": F.size(words_of(F.col(text_col))).cast("long"), "__d_key": row})
+    out = out.join(hits.hint("shuffle_hash"), (out[id_col] == F.col("__d_doc")) & (out["__d_key"] == F.col("__d_row")), "left")
     return out.select(
         *docs.columns,
-        F.size("__d_words").cast("long").alias("n_words"),
-        F.size(F.array_distinct(covered)).cast("long").alias("n_hit"),
-        F.array_sort(F.array_distinct(F.transform(F.flatten(F.transform("__d_true", lambda c: c.getField("items"))), lambda i: i.cast("string")))).alias("items"),
-        (F.size("__d_true") > 0).alias("contaminated"),
+        F.col("__d_words").alias("n_words"),
+        F.coalesce("__d_n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        F.coalesce("__d_items", F.array().cast("array<string>")).alias("items"),
+        F.col("__d_n_hit").isNotNull().alias("contaminated"),
     )
 
 
