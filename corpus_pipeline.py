@@ -4,6 +4,14 @@ Language identification rejects documents without a language, line dedup drops
 lines that an earlier document holds, near-dedup keeps one document of each
 group, decontamination drops documents that hold a benchmark window, and BPE
 turns the rest into token ids and decodes them.
+
+Every stage takes the columns of documents, and other columns go.  Null, empty
+and blank texts and texts without a letter have no language and are rejected by
+the first stage.  Later stages, given such rows, keep them: they hold no line,
+shingle or window, and have no tokens.  Rows without an id lose no lines, have no
+copies and are never contaminated.  Repeated rows are treated alike by all
+stages; near-dedup keeps all rows of the kept id.  Texts of any length are read
+whole.  An empty table gives an empty one.
 """
 
 from __future__ import annotations
