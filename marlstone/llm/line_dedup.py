@@ -1,8 +1,8 @@
 """Corpus-wide line dedup with levelled sorted runs of line hashes.
 
 Documents are cut into ``batches`` id ranges, taken in ascending order.  A run
-is a table of 128-bit line hashes, sorted by hash, with the smallest document
-that holds the line.  Each batch is reduced to its own distinct hashes, merge
+is a table of 128-bit line hashes, bucketed and sorted by hash, with the
+smallest document that holds the line; joins merge it as it lies.  Each batch is reduced to its own distinct hashes, merge
 anti-joined with the runs so far, and what is left becomes a new run on level
 0.  ``fanout`` runs of one level are compacted into one of the next level.
 Because batches ascend, a hash's run entry always names its smallest holder,
@@ -15,12 +15,14 @@ a fixed number keeps the cost proportional to the input.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import SPACES, discard, fold_case, materialise, sha256_hex, table
+from marlstone.llm.common import SPACES, delete, fold_case, materialise, scratch, sha256_hex, table
 
 
 def _bounds(docs: DataFrame, id_col: str, batches: int) -> list:
@@ -32,23 +34,73 @@ def _bounds(docs: DataFrame, id_col: str, batches: int) -> list:
     return sorted(set(found or []))
 
 
+#: The first lets a scan of one sorted file in each bucket say that its rows are sorted.  Without the
+#: second, small runs are joined with the lines of a batch before equal lines are combined.
+_SETTINGS = {"spark.sql.legacy.bucketedTableScan.outputOrdering": "true", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+
+
+@contextmanager
+def _settings(spark: SparkSession) -> Iterator[None]:
+    """The settings of the merge joins, while the runs are written."""
+    before = {key: spark.conf.get(key) for key in _SETTINGS}
+    try:
+        for key, value in _SETTINGS.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def _write_run(rows: DataFrame) -> tuple[str, str]:
+    """Write a run, bucketed and sorted by hash, as a table of the shared folder: its name and path.
+
+    ``rows`` are dealt by hash already, over as many partitions as there are
+    buckets, so each bucket is one file and the next merge join reads the run
+    without an exchange or a sort.
+    """
+    spark = rows.sparkSession
+    path = scratch(spark, "run")
+    name = path.rpartition("/")[2].replace("-", "_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.write.bucketBy(buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).format("parquet").saveAsTable(name)
+    return name, path
+
+
+def _against(fresh: DataFrame, runs: list[tuple[str, str]]) -> DataFrame:
+    """What no run holds, by merge anti-joins."""
+    for name, _ in runs:
+        run = fresh.sparkSession.table(name).select("h1", "h2")
+        fresh = fresh.join(run.hint("merge"), ["h1", "h2"], "left_anti")
+    return fresh
+
+
 def _runs(lines: DataFrame, batches: int, fanout: int) -> DataFrame:
     """First holder of every line hash: the union of the levelled runs."""
-    levels: dict[int, list[DataFrame]] = {}
-    for b in range(batches):
-        fresh = lines.where(F.col("batch") == b).groupBy("h1", "h2").agg(F.min("doc").alias("first"))
-        for run in (r for level in sorted(levels) for r in levels[level]):
-            fresh = fresh.hint("merge").join(run.select("h1", "h2"), ["h1", "h2"], "left_anti")
-        levels.setdefault(0, []).append(materialise(fresh.sortWithinPartitions("h1", "h2"), "run"))
-        level = 0
-        while b < batches - 1 and len(levels[level]) >= fanout:
-            old = levels.pop(level)
-            merged = reduce(DataFrame.unionByName, old).repartition("h1", "h2").sortWithinPartitions("h1", "h2")
-            levels.setdefault(level + 1, []).append(materialise(merged, "run"))
-            for run in old:
-                discard(run)
-            level += 1
-    return reduce(DataFrame.unionByName, [r for level in levels.values() for r in level])
+    spark, levels, names = lines.sparkSession, {}, []
+
+    def keep(rows: DataFrame, level: int) -> None:
+        run = _write_run(rows)
+        names.append(run[0])
+        levels.setdefault(level, []).append(run)
+
+    try:
+        with _settings(spark):
+            for b in range(batches):
+                fresh = lines.where(F.col("batch") == b).groupBy("h1", "h2").agg(F.min("doc").alias("first"))
+                keep(_against(fresh, [run for level in sorted(levels) for run in levels[level]]), 0)
+                level = 0
+                while b < batches - 1 and len(levels[level]) >= fanout:
+                    old = levels.pop(level)
+                    keep(reduce(DataFrame.unionByName, [spark.table(n) for n, _ in old]).repartition("h1", "h2"), level + 1)
+                    for _, path in old:
+                        delete(spark, path)
+                    level += 1
+    finally:
+        for name in names:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+    paths = [path for level in levels.values() for _, path in level]
+    return spark.read.schema("h1 long, h2 long, first " + lines.schema["doc"].dataType.simpleString()).parquet(*paths)
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, batches: int = 4, fanout: int = 3) -> DataFrame:

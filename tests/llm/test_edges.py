@@ -37,6 +37,20 @@ def test_line_dedup_does_not_depend_on_batches(docs):
         assert sorted(map(str, line_dedup.line_dedup(docs, batches=batches, fanout=fanout).collect())) == want
 
 
+def test_line_dedup_reads_sorted_runs_as_they_lie(spark):
+    """A batch is combined, dealt and sorted once; the run it is merged with is neither dealt nor sorted."""
+    hashes = ("xxhash64(id) AS h1", "xxhash64(id, 1) AS h2", "id AS first")
+    distinct = lambda a, b: spark.range(a, b).selectExpr(*hashes).groupBy("h1", "h2").agg(F.min("first").alias("first"))
+    with line_dedup._settings(spark):
+        run = line_dedup._write_run(distinct(0, 2000))
+        left = line_dedup._against(distinct(1000, 3000), [run])
+        plan = left._jdf.queryExecution().executedPlan().toString()
+        assert "Bucketed: true" in plan and plan.count("Exchange ") == 1 and plan.count("Sort [") == 1
+        assert plan.index("SortMergeJoin") < plan.index("HashAggregate")
+        assert left.count() == 1000
+    spark.sql(f"DROP TABLE {run[0]}")
+
+
 def test_decontaminate(spark, docs, nothing):
     bench = spark.createDataFrame([(10, "Same line"), (11, "line number 5 of a long text about nothing line number 6"), (12, None), (13, ""), (None, "other words"), (14, "same LINE")], "item_id long, text string")
     got = sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in decontaminate.decontaminate(docs, bench).collect()), key=repr)
