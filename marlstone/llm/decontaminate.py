@@ -95,6 +95,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     )
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), row.alias("row"), F.col(text_col).alias("text"))
     checked = texts.join(starts, ["doc", "row"]).dropDuplicates(["doc", "row"]).select("doc", "row", "cand", words_of(F.col("text")).alias("words"))
+    checked = materialise(checked, "candidates")  # else the split moves into the lambda and runs for each candidate
     true = F.filter("cand", lambda c: F.slice("words", c.getField("start") + 1, c.getField("len")) == c.getField("need"))
     checked = checked.select("doc", "row", true.alias("true")).where(F.size("true") > 0)
     covered = F.flatten(F.transform("true", lambda c: F.sequence(c.getField("start"), c.getField("start") + c.getField("len") - 1)))
