@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marlstone.operators.shared import save
+from marlstone.operators.shared import numbered, save
 
 #: Damping, rounds and laziness of the walk; decay of a hop; sweeps.
 DAMPING, ROUNDS, LAZINESS, HOP_DECAY, SWEEPS = 0.85, 3, 0.5, 0.5, 20
@@ -51,11 +51,11 @@ def seed_mass(seeds: DataFrame) -> DataFrame:
     return seeds.crossJoin(F.broadcast(total)).select("node", (1 / F.col("rank") / F.col("total")).alias("mass"))
 
 
-def pagerank(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def pagerank(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, laziness: float = LAZINESS) -> DataFrame:
     """Lazy personalised PageRank from ranked seeds: ``node, score``.
 
     The number of rounds is fixed, so the plan is; a seed outside the graph
-    keeps its lazy and its restart mass.  Each round joins the mass with the
+    keeps its lazy and its restart mass.  A ``laziness`` of 0 is the plain walk.  Each round joins the mass with the
     adjacency, whose shares are summed before they are shuffled.
     """
     links = undirected(edges)
@@ -64,8 +64,8 @@ def pagerank(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFr
     start = seed_mass(seeds)
     mass = start
     for _ in range(rounds):
-        moved = mass.join(share, "node").select(F.col("neighbour").alias("node"), (DAMPING * (1 - LAZINESS) * F.col("mass") * F.col("share")).alias("m"))
-        stay = mass.select("node", (DAMPING * LAZINESS * F.col("mass")).alias("m"))
+        moved = mass.join(share, "node").select(F.col("neighbour").alias("node"), (DAMPING * (1 - laziness) * F.col("mass") * F.col("share")).alias("m"))
+        stay = mass.select("node", (DAMPING * laziness * F.col("mass")).alias("m"))
         again = start.select("node", ((1 - DAMPING) * F.col("mass")).alias("m"))
         mass = moved.unionAll(stay).unionAll(again).groupBy("node").agg(F.sum("m").alias("mass"))
     return mass.withColumnRenamed("mass", "score")
@@ -158,8 +158,7 @@ def communities(edges: DataFrame) -> DataFrame:
 
     labelled = save(links.select("component", "node", "neighbour", "grade").groupBy("component").applyInPandas(run, "node string, label string"), "communities")
     named = labelled.groupBy("label").agg(F.count("*").alias("size"), F.min("node").alias("least"))
-    order = Window.orderBy(F.col("size").desc(), "least")
-    named = named.withColumn("community", F.concat(F.lit("c"), (F.row_number().over(order) - 1).cast("string")))
+    named = numbered(named, F.col("size").desc(), F.col("least")).withColumn("community", F.concat(F.lit("c"), F.col("no").cast("string")))
     return labelled.join(named.select("label", "community", "size"), "label").select("node", "community", "size")
 
 

@@ -108,3 +108,14 @@ def shard_digests(records: DataFrame, shard: Column) -> DataFrame:
     """An order-free digest of every shard's rows ``id, sha``."""
     rows = records.select(shard.alias("shard"), F.xxhash64("id", "sha").alias("h"))
     return rows.groupBy("shard").agg(F.count("*").alias("n"), F.bit_xor("h").alias("digest"))
+
+
+def display_titles(records: DataFrame, cache: DataFrame) -> DataFrame:
+    """``id, title`` as shown for ``id, sha, title, title_h``: the plain title, else the cached one, else the labelled hash.
+
+    ``cache`` holds one ``title`` for each ``sha``; a hash loses its ``h:``.
+    """
+    shown = cache.select("sha", F.col("title").alias("cached"))
+    digest = F.regexp_replace(F.coalesce("title_h", F.lit("")), "^h:", "")
+    label = F.concat(digest, F.lit(" (uncached — title unavailable)"))
+    return records.join(shown, "sha", "left").select("id", F.coalesce("title", "cached", label).alias("title"))
